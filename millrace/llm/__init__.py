@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding",)
+MODULES = ("toxicity", "sharding")
 
 
 def queries() -> dict:
