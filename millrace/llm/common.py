@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,13 +40,15 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def ranged(df: DataFrame, keys: list[Column], label: str) -> DataFrame:
+def ranged(df: DataFrame, keys: list[Column], label: str, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows range-partitioned and sorted by `keys`, as a stage table with `_pid` and `_pos` (0-based in the partition).
 
     Reading `_pid`, then `_pos` in order gives the global order. `keys` should end in a column that tells equal
     keys apart, so that no value is too frequent for one partition; rows equal in all keys are interchangeable.
+    `finish` may work on the sorted partitions before they are written.
     """
     out = df.repartitionByRange(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    out = finish(out) if finish else out
     return cut(
         out.withColumns({"_pid": F.spark_partition_id(), "_pos": F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL_MASK))}),
         label,
