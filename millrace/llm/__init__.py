@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("toxicity", "mixing", "sharding")
+MODULES = ("decontamination", "toxicity", "mixing", "sharding")
 
 
 def queries() -> dict:
