@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -146,15 +146,30 @@ def _around(hot: DataFrame, masks: list[int], distance: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, fp (signed long), component_id (smallest doc_id of its group) and `carried_<name>`."""
+    """One row per document: doc_id, fp (signed long), component_id (smallest doc_id of its group), root (the group's
+    least fingerprint, never null) and `carried_<name>`."""
     rows = docs.select(F.col(row_id).alias("doc_id"), F.col(text).alias("_text"), *[F.col(c).alias(f"carried_{c}") for c in carry])
     marked = cut(fingerprints(rows, text="_text", shingle=shingle), "simhash")
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     found = components(links(distinct.select("fp"), distance=distance), "a", "b")
     roots = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     groups = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = roots.join(groups, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id", *[f"carried_{c}" for c in carry])
+    classes = roots.join(groups, "root").select("fp", "component_id", "root")
+    return marked.join(classes, "fp").select("doc_id", "fp", "component_id", "root", *[f"carried_{c}" for c in carry])
+
+
+def keep_one(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of `docs` with one row of each near-duplicate group: the one with the smallest id, null ids last.
+
+    Texts move once, for the join with the kept rows' digests; a row repeated in full stays once.
+    """
+    ident = F.md5(F.concat(F.coalesce(F.col(row_id).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
+    tagged = docs.withColumn("_row_digest", ident)
+    groups = near_duplicates(tagged, row_id=row_id, text=text, carry=("_row_digest",), **options)
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("carried__row_digest").alias("digest")))
+    kept = groups.groupBy("root").agg(first.alias("first")).select(F.col("first.digest").alias("_row_digest"))
+    again = Window.partitionBy("_row_digest").orderBy("_row_digest")
+    return tagged.join(kept, "_row_digest", "left_semi").withColumn("_n", F.row_number().over(again)).where("_n = 1").drop("_n", "_row_digest")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
