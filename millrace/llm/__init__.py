@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontamination", "toxicity", "mixing", "simhash", "sharding")
+MODULES = ("quality", "decontamination", "toxicity", "mixing", "simhash", "sharding")
 
 
 def queries() -> dict:
