@@ -1,13 +1,12 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
-A text is the mean of the vectors of its character n-grams (hashed to buckets), and a linear softmax over that mean
-gives the class. Vectors and softmax are trained jointly in numpy by AdaGrad. A misspelling that was never seen still
+A text is the mean of the vectors of its distinct character n-grams (hashed to buckets), and a linear softmax over that
+mean gives the class. Vectors and softmax are trained jointly in numpy by AdaGrad. A misspelling that was never seen still
 shares most n-grams with its known forms. As the head is linear, a bucket's whole effect is one number, so that
 scoring is a lookup and a mean over whole texts.
 
 The model is fitted on the driver on at most `PER_CLASS` rows of each class (the rows with the smallest hashes, less those
-with texts over `FIT_BYTES` bytes); the class shares among all training rows are counted over all of them and correct
-the intercept. Scoring reads every text in full.
+with texts over `FIT_BYTES` bytes), with equal weight for both classes. Scoring reads every text in full.
 
 Defined cases: null and empty texts, and texts without letters or digits, have no n-grams and score as the intercept;
 without training rows of both classes every score is the share of label 1 among them (0 if there are none); null
@@ -32,75 +31,72 @@ PER_CLASS = 2500
 FIT_BYTES = 65_536
 DIMENSIONS = 8
 EPOCHS = 6
-RATE = 0.3
+STEPS = 600  # a small sample is gone through more often
+RATE = 1.0
 BATCH = 32
 
 
+def _bags(texts):
+    """The distinct n-grams of each text, as buckets; every n-gram of a text has the same share in its mean."""
+    place = np.zeros(1 << subwords.BUCKET_BITS, np.int32)
+    for block in subwords.blocks(texts):
+        buckets, counts = subwords.ngrams(block)
+        cuts = np.cumsum(counts.ravel())[:-1]
+        parts = np.split(buckets, cuts)
+        for k in range(len(block)):
+            own = np.concatenate(parts[k :: len(block)])
+            order = np.arange(len(own), dtype=np.int32)
+            place[own] = order  # the last of equal buckets stays
+            yield own[place[own] == order]
+
+
 @dataclass(frozen=True)
 class SubwordModel:
     effect: np.ndarray  # per bucket: log-odds of label 1 that its n-gram adds, before the mean is taken
     intercept: float
 
     def scores(self, texts) -> np.ndarray:
-        out = []
-        for block in subwords.blocks(texts):
-            buckets, counts = subwords.ngrams(block)
-            doc = np.repeat(np.tile(np.arange(len(block)), len(counts)), counts.ravel())
-            total = np.bincount(doc, self.effect[buckets], minlength=len(block))
-            logit = total / np.maximum(1, counts.sum(0)) + self.intercept
-            out.append(1 / (1 + np.exp(-np.clip(logit, -50, 50))))
-        return np.concatenate(out) if out else np.zeros(0)
-
-
-def _bags(texts) -> list[tuple[np.ndarray, np.ndarray]]:
-    out = []
-    for block in subwords.blocks(texts):
-        buckets, counts = subwords.ngrams(block)
-        doc = np.repeat(np.tile(np.arange(len(block)), len(counts)), counts.ravel())
-        pairs, n = np.unique((doc << subwords.BUCKET_BITS) | buckets, return_counts=True)
-        cuts = np.searchsorted(pairs >> subwords.BUCKET_BITS, np.arange(1, len(block)))
-        ids = (pairs & ((1 << subwords.BUCKET_BITS) - 1)).astype(np.int32)
-        share = (n / np.maximum(1, counts.sum(0))[pairs >> subwords.BUCKET_BITS]).astype(np.float32)
-        out += zip(np.split(ids, cuts), np.split(share, cuts), strict=True)
-    return out
+        logit = np.array([self.effect[bag].mean() if len(bag) else 0.0 for bag in _bags(texts)], float) + self.intercept
+        return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
 
 
 def train(texts, labels: np.ndarray, share: float, seed: int = 7) -> SubwordModel:
-    """Joint training; `share` is the share of label 1 that the scores are to assume."""
-    edge = 1e-6
-    prior = np.log(max(share, edge) / max(1 - share, edge))
+    """Joint training; both classes weigh the same. `share`, that of label 1, is only used if one class is missing."""
+    vectors = np.zeros((1 << subwords.BUCKET_BITS, DIMENSIONS), np.float32)
     if len(set(labels)) < 2:
-        return SubwordModel(np.zeros(1 << subwords.BUCKET_BITS, np.float32), float(prior))
+        edge = 1e-6
+        return SubwordModel(vectors[:, 0], float(np.log(max(share, edge) / max(1 - share, edge))))
     rng = np.random.default_rng(seed)
-    bags = _bags(texts)
-    vectors = (rng.standard_normal((1 << subwords.BUCKET_BITS, DIMENSIONS)) * 0.01).astype(np.float32)
-    head = (rng.standard_normal((DIMENSIONS, 2)) * 0.5).astype(np.float32)
-    bias = np.zeros(2, np.float32)
-    seen, seen_head = np.full(len(vectors), 1e-8, np.float32), np.full(head.shape, 1e-8, np.float32)
-    for _ in range(EPOCHS):
+    bags = [bag.astype(np.int32) for bag in _bags(texts)]
+    vectors += rng.standard_normal(vectors.shape).astype(np.float32) * 0.01
+    head, bias = (rng.standard_normal((DIMENSIONS, 2)) * 0.5).astype(np.float32), np.zeros(2, np.float32)
+    # AdaGrad with one scale for all vectors: a scale for each would let n-grams of a single text weigh as much as common ones
+    seen, seen_head = 1e-12, np.full(head.shape, 1e-8, np.float32)
+    weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())).astype(np.float32)
+    for _ in range(max(EPOCHS, min(40, -(-STEPS * BATCH // len(bags))))):
         order = rng.permutation(len(bags))
         for chosen in np.split(order, range(BATCH, len(order), BATCH)):
-            ids = np.concatenate([bags[i][0] for i in chosen])
-            weight = np.concatenate([bags[i][1] for i in chosen])
-            row = np.repeat(np.arange(len(chosen)), [len(bags[i][0]) for i in chosen])
+            size = np.array([len(bags[i]) for i in chosen])
+            ids = np.concatenate([bags[i] for i in chosen])
+            row = np.repeat(np.arange(len(chosen)), size)
             used, local = np.unique(ids, return_inverse=True)
-            part = vectors[ids] * weight[:, None]
-            mean = np.stack([np.bincount(row, part[:, k], minlength=len(chosen)) for k in range(DIMENSIONS)], 1)
+            share_of = (1 / np.maximum(1, size)).astype(np.float32)
+            own = vectors[ids]
+            mean = np.stack([np.bincount(row, own[:, k], minlength=len(chosen)) for k in range(DIMENSIONS)], 1) * share_of[:, None]
             logit = mean @ head + bias
             miss = np.exp(logit - logit.max(1, keepdims=True))
             miss /= miss.sum(1, keepdims=True)
             miss[np.arange(len(chosen)), labels[chosen]] -= 1
-            pull = (miss @ head.T).astype(np.float32)[row] * weight[:, None]
+            miss *= weight[chosen][:, None]
+            pull = ((miss @ head.T) * share_of[:, None]).astype(np.float32)[row]
             step = np.stack([np.bincount(local, pull[:, k], minlength=len(used)) for k in range(DIMENSIONS)], 1)
             slope = mean.T @ miss / len(chosen)
             seen_head += slope**2
             head -= (0.1 * slope / np.sqrt(seen_head)).astype(np.float32)
             bias -= (0.1 * miss.mean(0)).astype(np.float32)
-            seen[used] += (step**2).mean(1)
-            vectors[used] -= (RATE * step / np.sqrt(seen[used])[:, None]).astype(np.float32)
-    mine = labels.mean()  # the sample's share gives way to the one among all training rows
-    shift = prior - np.log(mine / (1 - mine))
-    return SubwordModel(vectors @ (head[:, 1] - head[:, 0]), float(bias[1] - bias[0] + shift))
+            seen += (step**2).sum() / max(1, len(used))
+            vectors[used] -= (RATE * step / np.sqrt(seen)).astype(np.float32)
+    return SubwordModel(vectors @ (head[:, 1] - head[:, 0]), float(bias[1] - bias[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, per_class: int = PER_CLASS) -> SubwordModel:
