@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "decontamination", "toxicity", "mixing", "urlfilter", "simhash", "sharding")
+MODULES = ("quality", "fingerprint", "decontamination", "toxicity", "mixing", "urlfilter", "simhash", "sharding")
 
 
 def queries() -> dict:
