@@ -9,8 +9,8 @@ chance, over the most that could be in common; each filter of the shorter digest
 count by their bits. (After Roussev's similarity digests, 2010.)
 
 Defined cases: a null text is an empty one; an empty text has an empty digest, which is like another empty one (1) and
-unlike all others (0); a text shorter than a window is one feature; a text whose windows all score too little keeps
-those with the most points; equal texts have equal digests, whatever else the corpus holds beside the rank table; null
+unlike all others (0); short texts keep more and shorter windows (`FEW`, `SHORT_TEXT`); a text whose windows all score too
+little keeps those with the most points; equal texts have equal digests, whatever else the corpus holds beside the rank table; null
 ids come last; rows with equal ids are ordered by text; a table of one row is its own next row; an empty table gives
 an empty result; columns that aren't asked for are left behind.
 """
@@ -30,6 +30,10 @@ from millrace.llm.common import partitions, table
 WINDOW = 64
 RUN = 64
 POINTS = 16
+#: Texts of fewer windows keep every window with a point.
+FEW = 1024
+#: Texts of fewer bytes also keep all their windows of SHORT bytes.
+SHORT_TEXT, SHORT = 256, 8
 FILTER_BITS = 2048
 PER_FILTER = 160
 HASHES = 5
@@ -117,16 +121,18 @@ def features(block: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
         for k in np.flatnonzero(windows):
             if runs[k]:
                 p, w = points[first[k] : last[k]], place[first[k] : last[k]]
-                chosen[k] = w[p >= min(POINTS, p.max())]
+                chosen[k] = w[p >= min(POINTS if windows[k] >= FEW else 1, p.max())]
             else:
-                chosen[k] = start[k] + np.array([np.argmin(key[start[k] : start[k] + windows[k]])])
+                chosen[k] = start[k] + np.arange(windows[k])
     counts = np.array([len(c) for c in chosen])
     flat = np.concatenate(chosen) if len(chosen) else np.zeros(0, np.int64)
     hashes = _hash(np.lib.stride_tricks.sliding_window_view(raw, WINDOW)[flat]) if len(flat) else np.zeros(0, np.uint64)
     out = []
     for k, own in enumerate(np.split(hashes, np.cumsum(counts)[:-1])):
-        if not windows[k] and size[k]:
-            own = _hash(np.frombuffer(block[k].ljust(WINDOW, b"\0"), np.uint8)[None]) + np.uint64(size[k])
+        if 0 < size[k] < SHORT_TEXT:
+            short = np.frombuffer(block[k], np.uint8)
+            short = np.lib.stride_tricks.sliding_window_view(short, min(SHORT, len(short)))
+            own = np.r_[own, _hash(np.pad(short, ((0, 0), (0, WINDOW - short.shape[1])))) + np.uint64(1)]
         _, at = np.unique(own, return_index=True)
         out.append(own[np.sort(at)])
     return out
