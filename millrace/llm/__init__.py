@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "fingerprint", "decontamination", "toxicity", "mixing", "urlfilter", "simhash", "linededup", "sharding")
+MODULES = ("quality", "fingerprint", "suffixdedup", "decontamination", "toxicity", "mixing", "urlfilter", "simhash", "linededup", "sharding")
 
 
 def queries() -> dict:

@@ -131,7 +131,7 @@ def features(block: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
     for k, own in enumerate(np.split(hashes, np.cumsum(counts)[:-1])):
         if 0 < size[k] < SHORT_TEXT:
             short = np.frombuffer(block[k], np.uint8)
-            short = np.lib.stride_tricks.sliding_window_view(short, min(SHORT, len(short)))
+            short = np.lib.stride_tricks.sliding_window_view(short, min(SHORT, max(1, len(short) // 4)))
             own = np.r_[own, _hash(np.pad(short, ((0, 0), (0, WINDOW - short.shape[1])))) + np.uint64(1)]
         _, at = np.unique(own, return_index=True)
         out.append(own[np.sort(at)])
