@@ -35,8 +35,9 @@ GRAM = 32
 #: Windows of a span at most; a longer run of one key is several spans.
 RUN = 1024
 #: Bytes of text that a shard is planned for.
-SHARD_BYTES = 8_000_000
-BLOCK_BYTES = 2_000_000
+SHARD_BYTES = 2_500_000
+#: Texts are hashed in blocks of about so many bytes; longer ones in pieces that overlap by a window.
+BLOCK_BYTES = 500_000
 _BASE, _BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
@@ -99,14 +100,18 @@ def spans(block: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     return text, begin - start[text], np.where(twice, -n, n), key[run], _mix(content + n.astype(np.uint64))
 
 
-def _blocks(texts):
+def _pieces(texts, length: int):
+    """Blocks of (text number, offset, bytes): every window of every text is in one piece, and no block is much over its size."""
     got, size = [], 0
-    for b in texts:
-        if got and size + len(b) > BLOCK_BYTES:
-            yield got
-            got, size = [], 0
-        got.append(b)
-        size += len(b)
+    for k, text in enumerate(texts):
+        raw = text.encode()
+        for at in range(0, max(1, len(raw) - length + 1), BLOCK_BYTES):
+            piece = raw[at : at + BLOCK_BYTES + length - 1]
+            if got and size + len(piece) > BLOCK_BYTES:
+                yield got
+                got, size = [], 0
+            got.append((k, at, piece))
+            size += len(piece)
     if got:
         yield got
 
@@ -115,11 +120,10 @@ def _spans_of(rows: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             d, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            done = 0
-            for block in _blocks(t.encode() for t in batch.column(2).to_pylist()):
-                text, start, n, key, content = spans(block, length)
-                text = text + done
-                done += len(block)
+            for block in _pieces(batch.column(2).to_pylist(), length):
+                text, start, n, key, content = spans([p[2] for p in block], length)
+                start = start + np.array([p[1] for p in block])[text]
+                text = np.array([p[0] for p in block])[text]
                 yield pa.RecordBatch.from_arrays([pa.array(d[text]), pa.array(c[text]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(content.view(np.int64))], names=["_d", "_c", "start", "n", "key", "content"])
 
     return rows.select("_d", "_c", "_text").mapInArrow(run, "_d long, _c int, start int, n int, key long, content long")
