@@ -17,6 +17,8 @@ import tempfile
 
 import numpy as np
 
+#: Pairs of suffixes that are compared at a time.
+_PAIRS = 8192
 _ENTRY = np.dtype([("at", "<i8"), ("lcp", "<i4")])
 
 
@@ -112,6 +114,8 @@ def _range_min(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def common(t: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
     """Common prefix of the suffixes at a[k] and b[k], up to `cap`; the text ends differ from all characters."""
+    if len(a) > _PAIRS:
+        return np.concatenate([common(t, a[k : k + _PAIRS], b[k : k + _PAIRS], cap) for k in range(0, len(a), _PAIRS)])
     out = np.zeros(len(a), np.int32)
     room = np.minimum(np.minimum(len(t) - a, len(t) - b), cap)
     left = np.flatnonzero(room > 0)
