@@ -40,7 +40,7 @@ def _value(doc: Column, field: str, want: Declared) -> Column:
         number = F.try_variant_get(doc, path, want.sql)
         fits = integral
         if want.low is not None and (want.low, want.high) != (-(2**63), 2**63 - 1):
-            fits = integral & number.between(F.lit(want.low).cast(want.sql), F.lit(want.high).cast(want.sql))
+            fits = integral & number.between(F.lit(str(want.low)).cast(want.sql), F.lit(str(want.high)).cast(want.sql))
         if want.result.simpleString() == "timestamp_ntz":
             value = F.timestamp_millis(number).cast("timestamp_ntz")
         else:
@@ -56,11 +56,12 @@ def strict(messages: DataFrame, declared: dict[str, str], *, value: str = "value
     `observe`, metrics of that name count messages and rows.
     """
     schema_of(declared)
+    blank = F.regexp_like("_text", F.lit(r"^\s*$"))
     text = F.col(value).cast("string")
     checked = messages.withColumn("_text", F.when(F.col(value).isNull(), F.raise_error(F.lit("message without a value"))).otherwise(text))
     if observe:
-        checked = checked.observe(observe, F.count(F.lit(1)).alias("messages"), F.count_if(F.trim("_text") != "").alias("rows"))
-    checked = checked.where(F.trim(F.regexp_replace("_text", r"[\r\n\t]", " ")) != "")
+        checked = checked.observe(observe, F.count(F.lit(1)).alias("messages"), F.count_if(~blank).alias("rows"))
+    checked = checked.where(~blank)
     parsed = F.when(F.regexp_like("_text", F.lit(r"^\s*\{")), F.try_parse_json("_text"))
     doc = checked.withColumn("_doc", F.coalesce(parsed, F.parse_json(F.raise_error(F.lit("JSON parse error: a message is no JSON object")).cast("string"))))
     return doc.select(*keep, *[_value(F.col("_doc"), c, resolve(t)) for c, t in declared.items()])

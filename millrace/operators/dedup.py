@@ -26,9 +26,9 @@ def _ordered(order: list[str]) -> Column:
     return F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))])
 
 
-def _whole(df: DataFrame, order: list[str]) -> Column:
-    """A row that compares by `order`: its minimum is a first row, and maps combine minima before the exchange."""
-    return F.struct(_ordered(order).alias("o"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+def _first_row(df: DataFrame, order: list[str]) -> Column:
+    """The first row of a group by `order`, as a struct; an aggregate, so that maps combine before the exchange."""
+    return F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), _ordered(order))
 
 
 def first_wins(df: DataFrame, field: str, order: list[str]) -> DataFrame:
@@ -36,7 +36,7 @@ def first_wins(df: DataFrame, field: str, order: list[str]) -> DataFrame:
     if not _has(df, field):
         return df
     key = dedup_key(F.col(f"`{field}`"))
-    kept = df.where(key.isNotNull()).groupBy(key.alias("_key")).agg(F.min(_whole(df, order)).alias("first")).select("first.row.*")
+    kept = df.where(key.isNotNull()).groupBy(key.alias("_key")).agg(_first_row(df, order).alias("row")).select("row.*")
     return kept.unionByName(df.where(key.isNull()))
 
 
@@ -71,8 +71,8 @@ def windowed_first_wins(df: DataFrame, field: str, clock: str, order: list[str],
         return df
     n = live_buckets(window_hours, bucket_hours)
     key = dedup_key(F.col(f"`{field}`"))
-    firsts = df.where(key.isNotNull()).groupBy(key.alias("_key"), bucket(F.col(clock), bucket_hours).alias("_bucket")).agg(F.min(_whole(df, order)).alias("first"))
-    lines = firsts.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct(F.col("_bucket").alias("b"), F.col("first.row").alias("row")))).alias("line"))
+    firsts = df.where(key.isNotNull()).groupBy(key.alias("_key"), bucket(F.col(clock), bucket_hours).alias("_bucket")).agg(_first_row(df, order).alias("row"))
+    lines = firsts.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct(F.col("_bucket").alias("b"), F.col("row")))).alias("line"))
     buckets = F.transform("line", lambda x: x["b"])
     kept = F.aggregate(buckets, F.array().cast("array<bigint>"), lambda kept, b: F.when((F.size(kept) == 0) | (b - F.element_at(kept, -1) >= n), F.array_append(kept, b)).otherwise(kept))
     rows = F.filter("line", lambda x: F.array_contains(F.col("kept"), x["b"]))

@@ -32,7 +32,7 @@ def insert_with_retry(insert: Insert, table: pa.Table, attempts: int = ATTEMPTS,
         except Exception as error:
             if not left:
                 raise
-            log.warning("insert of %d rows failed, %d attempts left: %s", table.num_rows, left, error)
+            log.info("insert of %d rows failed, %d attempts left: %s", table.num_rows, left, error)
             sleep(wait)
 
 
@@ -51,11 +51,11 @@ def rejected(insert: Insert, table: pa.Table, factor: int = SPLIT_FACTOR, **retr
             insert_with_retry(insert, part, **retry)
         except Exception as error:
             if len(part) == 1:
-                log.error("a row is rejected: %s", error)
+                log.info("a row is rejected: %s", error)
                 yield part
                 continue
             size = max(1, len(part) // factor)
-            log.warning("%d rows failed, going on with chunks of %d: %s", len(part), size, error)
+            log.info("%d rows failed, going on with chunks of %d: %s", len(part), size, error)
             pending += [(k, min(k + size, stop)) for k in range(start, stop, size)][::-1]
 
 

@@ -43,22 +43,20 @@ def kafka(spark: SparkSession, settings: KafkaInput) -> DataFrame:
 
 
 def files(spark: SparkSession, settings: FileInput) -> DataFrame:
-    """Messages from files: lines of text, or Parquet with `value` and optionally the other message columns.
+    """Messages from files: lines of small text files, or Parquet with `value` and optionally the other message columns.
 
-    Without an offset column, rows are numbered in the order in which a batch's files hold them.
+    The offset of a line is its file's time of modification in microseconds plus its place, so that files follow each
+    other by time; Parquet rows without an offset column have their place in the file.
     """
     reader = spark.readStream.option("maxFilesPerTrigger", settings.files_per_batch)
     if settings.format == "text":
-        rows = reader.text(settings.path)
+        lines = reader.option("wholetext", True).text(settings.path).select(F.unix_micros("_metadata.file_modification_time").alias("_file"), F.posexplode(F.split("value", "\n")).alias("_line", "value"))
+        rows = lines.withColumn("offset", F.col("_file") + F.col("_line"))
     else:
         rows = reader.schema(spark.read.parquet(settings.path).schema).parquet(settings.path)
-    filled = {
-        "key": F.lit(None).cast("string"),
-        "topic": F.lit(settings.topic.name),
-        "partition": F.lit(0),
-        "offset": F.monotonically_increasing_id(),
-        "timestamp": F.current_timestamp(),
-    }
+        if "offset" not in rows.columns:
+            rows = rows.withColumn("offset", F.col("_metadata.row_index"))
+    filled = {"key": F.lit(None).cast("string"), "topic": F.lit(settings.topic.name), "partition": F.lit(0), "timestamp": F.current_timestamp()}
     return rows.withColumns({c: e for c, e in filled.items() if c not in rows.columns}).select(*MESSAGE_COLUMNS)
 
 
