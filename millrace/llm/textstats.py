@@ -61,7 +61,7 @@ def statistics(block: list[bytes]) -> np.ndarray:
     n_letters, n_upper = letters[last + 1] - letters[first], upper[last + 1] - upper[first]
     bare = np.bincount(own, n_letters == 0, minlength=n)
     # polynomial hash of each word's bytes
-    at = np.cumsum(np.r_[0, length[:-1]])
+    at = np.cumsum(length) - length
     place = np.arange(length.sum()) - np.repeat(at, length)
     code = raw[inside].astype(np.uint64) * _POWERS[np.minimum(place, len(_POWERS) - 1)]
     word = np.add.reduceat(code, at) if len(at) else np.zeros(0, np.uint64)

@@ -1,0 +1,70 @@
+import numpy as np
+import pytest
+
+from millrace.llm import quality, subwords, textstats, toxicity
+
+
+@pytest.mark.parametrize("query, label, least", [(quality.op1_quality, "quality", 0.98), (toxicity.op5_toxicity, "toxic", 0.92)])
+def test_held_out_accuracy(spark, query, label, least):
+    folder = "/root/testdata/sf0.1"
+    rows = query(spark, folder).toPandas()
+    assert rows.score.between(0, 1).all() and len(rows) == 10_000
+    known = rows.merge(spark.read.parquet(f"{folder}/labels.parquet").toPandas(), on="doc_id")
+    held = known[known.held_out]
+    assert len(held) > 100 and (held.predicted == held[label]).mean() >= least
+    assert held.score[held[label] == 1].mean() > held.score[held[label] == 0].mean()
+
+
+def test_ngrams_equal_the_plain_version():
+    texts = [b"ab cd", b"", b"abcdefgh", b"x", b"..", b"a1!b2", "é à".encode()]
+    buckets, counts = subwords.ngrams(texts)
+    kept = bytes(b for b in range(256) if subwords._CLASS[b])
+    for i, t in enumerate(texts):
+        padded = b"\0" + bytes(b if b in kept else 0 for b in t) + b"\0"
+        for j, n in enumerate(subwords.NGRAMS):
+            grams = [padded[k : k + n] for k in range(len(padded) - n + 1)]
+            assert counts[j][i] == sum(0 not in g[1:-1] for g in grams), (t, n)
+    assert len(buckets) == counts.sum()
+    same, _ = subwords.ngrams([b"stupid"])
+    again, _ = subwords.ngrams([b"q", b"stupid", b"r"])
+    assert set(same) <= set(again)
+
+
+def test_a_misspelling_shares_its_word_vectors():
+    rng = np.random.default_rng(0)
+    good = [" ".join(rng.choice(["river", "stone", "cloud", "green", "walk"], 8)) for _ in range(60)]
+    bad = [" ".join([*rng.choice(["river", "stone", "cloud", "green", "walk"], 7), "stupidest"]) for _ in range(60)]
+    model = toxicity.train(good + bad, np.repeat([0, 1], 60), 0.5)
+    seen, unseen, clean = model.scores(["river stone stupidest", "river stone stupideest", "river stone walk"])
+    assert seen > 0.5 and unseen > 0.5 and clean < 0.5
+
+
+def test_statistics_are_finite_and_independent_of_the_block():
+    texts = [b"", b" ", b"a", b"Hello there, world!", "é ".encode() * 50, b"x" * 1000, b"A! " * 40, b"\n\n\n"]
+    whole = textstats.statistics(texts)
+    assert whole.shape == (len(texts), len(textstats.NAMES)) and np.isfinite(whole).all()
+    for k, t in enumerate(texts):
+        assert np.allclose(textstats.statistics([t])[0], whole[k]), t
+
+
+def test_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(1, 0), (5, 1), (6, 1), (8, 0), (3, None), (99, 1)], "doc_id long, label int")
+    model = toxicity.fit(odd, labels, "label")
+    scored = toxicity.score(odd, model).collect()
+    assert len(scored) == odd.count() and all(0 <= r.score <= 1 for r in scored)
+    empty = {r.score for r in scored if r.doc_id in (2, 3, 4)}
+    assert len(empty) == 1
+    stats = quality.statistics(odd)
+    rows = quality.score(stats, quality.fit(stats, labels, "label")).collect()
+    assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
+    assert toxicity.score(odd.limit(0), model).count() == 0
+    none = quality.statistics(odd.limit(0))
+    assert quality.score(none, quality.fit(none, labels, "label")).count() == 0
+
+
+def test_labels_of_one_class(spark, odd):
+    ones = spark.createDataFrame([(1, 1), (5, 1)], "doc_id long, label int")
+    assert all(r.score > 0.99 for r in toxicity.score(odd, toxicity.fit(odd, ones, "label")).collect())
+    stats = quality.statistics(odd)
+    assert {r.score for r in quality.score(stats, quality.fit(stats, ones, "label")).collect()} == {1.0}
+    assert {r.score for r in quality.score(stats, quality.fit(stats, ones.limit(0), "label")).collect()} == {0.0}
