@@ -39,8 +39,8 @@ PER_FILTER = 160
 HASHES = 5
 BINS = 1024
 #: Texts are taken in blocks of about so many bytes, to bound memory; a longer text is a block of its own.
-BLOCK_BYTES = 2_000_000
-_LANE = 1024
+BLOCK_BYTES = 750_000
+_LANE = 512
 #: Integer steps of c log2 c from c to c + 1, so that sliding sums are exact.
 _STEP = np.diff(np.round(4096 * np.arange(WINDOW + 1) * np.log2(np.maximum(1, np.arange(WINDOW + 1))))).astype(np.int32)
 _TOP = int(_STEP.sum())
@@ -176,7 +176,7 @@ def rank_table(docs: DataFrame, text: str = "text") -> np.ndarray:
     def run(batches):
         total = np.zeros(BINS, np.int64)
         for batch in batches:
-            for block in _blocks(t.encode() for t in batch.column(0).to_pylist() if t):
+            for block in _blocks(t.as_py().encode() for t in batch.column(0) if t.is_valid):
                 total += histogram(block)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS)), pa.array(total)], names=["bin", "n"])
 
@@ -206,7 +206,7 @@ def fingerprints(docs: DataFrame, rank: np.ndarray, *, row_id: str = "doc_id", t
 
     def run(batches):
         for batch in batches:
-            out = [text_of(digest(h)) for block in _blocks((t or "").encode() for t in batch.column(1).to_pylist()) for h in features(block, rank)]
+            out = [text_of(digest(h)) for block in _blocks((t.as_py() or "").encode() for t in batch.column(1)) for h in features(block, rank)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "fingerprint"])
 
     return docs.select(F.col(row_id).alias("doc_id"), text).mapInArrow(run, f"doc_id {docs.schema[row_id].dataType.simpleString()}, fingerprint string")
@@ -272,12 +272,13 @@ def compare_with_next(docs: DataFrame, rank: np.ndarray) -> DataFrame:
 
         held, size = [], 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.append(row)
-                size += len(row[1])
-                if size > BLOCK_BYTES and len(held) > 1:
-                    yield out(held)
-                    held, size = held[-1:], len(held[-1][1])
+            for start in range(0, batch.num_rows, 64):
+                for row in zip(*(c.to_pylist() for c in batch.slice(start, 64).columns), strict=True):
+                    held.append(row)
+                    size += len(row[1])
+                    if size > BLOCK_BYTES and len(held) > 1:
+                        yield out(held)
+                        held, size = held[-1:], len(held[-1][1])
         if held:
             yield out(held)  # the last row is a guest
 
