@@ -1,40 +1,18 @@
-"""Helpers shared by the corpus operators: stage tables, distributed ranks, null-safe columns."""
+"""Helpers shared by the corpus operators: range-sorted stage tables, global places, words."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.stages import cut
+
 #: monotonically_increasing_id() keeps the row's place within its partition in the low 33 bits.
 _LOCAL_MASK = (1 << 33) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: `spark.checkpoint.dir`; only where unset, a folder of our own."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        sc.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and read it back.
-
-    Later stages start from the table, so a lost executor costs no recomputation of what is above, and
-    expressions that depend on partitions (ids, range bounds) keep one value for all readers.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     """Partitions for explicit range or key exchanges; the cluster sizes them by `spark.sql.shuffle.partitions`."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -74,10 +52,5 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def lower_ascii(text: Column) -> Column:
-    """Lower-cases A-Z only."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
