@@ -21,7 +21,8 @@ def schema_of(declared: dict[str, str]) -> StructType:
     return StructType([StructField(c, resolve(t).result) for c, t in declared.items()])
 
 
-def _path(field: str) -> str:
+def path(field: str) -> str:
+    """The field's path in a variant."""
     quote = "'" if "'" not in field else '"'
     if quote in field:
         raise ValueError(f"field name {field!r} holds both kinds of quotes")
@@ -29,15 +30,15 @@ def _path(field: str) -> str:
 
 
 def _value(doc: Column, field: str, want: Declared) -> Column:
-    path = _path(field)
-    found = F.try_variant_get(doc, path, "variant")
+    at = path(field)
+    found = F.try_variant_get(doc, at, "variant")
     kind = F.schema_of_variant(found)
     bad = F.raise_error(F.concat(F.lit(f"JSON parse error: column {field} can't be "), kind))
     if isinstance(want.result, StringType):
-        value, fits = F.try_variant_get(doc, path, "string"), kind == "STRING"
+        value, fits = F.try_variant_get(doc, at, "string"), kind == "STRING"
     else:
         integral = (kind == "BIGINT") if want.sql == "bigint" else (kind == "BIGINT") | kind.isin("DECIMAL(19,0)", "DECIMAL(20,0)")
-        number = F.try_variant_get(doc, path, want.sql)
+        number = F.try_variant_get(doc, at, want.sql)
         fits = integral
         if want.low is not None and (want.low, want.high) != (-(2**63), 2**63 - 1):
             fits = integral & number.between(F.lit(str(want.low)).cast(want.sql), F.lit(str(want.high)).cast(want.sql))

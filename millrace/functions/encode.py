@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, FloatType, MapType, StructType, TimestampNTZType, TimestampType
 
+from millrace.functions.decode import path as _path
+
 FORMATS = ("json", "arrow-batch")
 
 
@@ -56,6 +58,17 @@ def json_messages(df: DataFrame, key_column: str | None = None) -> DataFrame:
     return df.select(message_key(df, key_column).alias("key"), json_value(df).alias("value"))
 
 
+def document_messages(df: DataFrame, doc: str = "doc", key_column: str | None = None, null_key: str = "None") -> DataFrame:
+    """Messages of documents of any shape (variants). The key is that field's text; none if a document lacks the field."""
+    key = F.lit(None).cast("string")
+    if key_column is not None:
+        field = F.try_variant_get(doc, _path(key_column), "variant")
+        kind = F.schema_of_variant(field)
+        text = F.when(kind == "BOOLEAN", F.initcap(F.try_variant_get(doc, _path(key_column), "string"))).otherwise(F.try_variant_get(doc, _path(key_column), "string"))
+        key = F.when(kind.isNull(), key).otherwise(F.coalesce(text, F.lit(null_key)))
+    return df.select(key.alias("key"), F.to_json(F.col(doc)).alias("value"))
+
+
 def arrow_messages(df: DataFrame, per_partition: bool = False) -> DataFrame:
     """The batch as one Arrow IPC stream in one message without a key; an empty batch is a stream without rows.
 

@@ -11,7 +11,7 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.buckets import bucket, dedup_key, live_buckets
+from millrace.functions.buckets import bucket, dedup_key, is_live, live_buckets
 
 
 def _has(df: DataFrame, field: str) -> bool:
@@ -51,6 +51,16 @@ def mark_seen(df: DataFrame, field: str, clock: str, bucket_hours: int) -> DataF
     return df.select(dedup_key(F.col(f"`{field}`")).alias("key"), bucket(F.col(clock), bucket_hours).alias("bucket")).where("key is not null").distinct()
 
 
+def live_marks(marks: DataFrame, now: Column, window_hours: int, bucket_hours: int) -> DataFrame:
+    """Marks that may still drop a row at time `now` or later; the others can be forgotten."""
+    return marks.where(is_live(F.col("bucket"), bucket(now, bucket_hours), window_hours, bucket_hours))
+
+
+def contains(marks: DataFrame, key: str) -> bool:
+    """Whether one key is marked."""
+    return not marks.where(F.col("key") == key).isEmpty()
+
+
 def not_live(df: DataFrame, field: str, marks: DataFrame, clock: str, window_hours: int, bucket_hours: int) -> DataFrame:
     """Rows whose key has no live mark at the row's own time; later buckets than the row's count as live."""
     n = live_buckets(window_hours, bucket_hours)

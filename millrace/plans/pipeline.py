@@ -106,6 +106,25 @@ def not_live_marks(spark, folder):
     return dedup.not_live(events.where("event_id % 3 = 1"), "k", marks, "ts", 3, 1).select("event_id", "k")
 
 
+@_query("""
+WITH m AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS bucket FROM events)
+SELECT key, bucket FROM m WHERE CAST(epoch(TIMESTAMP '2024-01-20') / 3600 AS BIGINT) - bucket < 3""")
+def live_marks(spark, folder):
+    marks = dedup.mark_seen(_events(spark, folder), "user_id", "ts", 1)
+    return dedup.live_marks(marks, F.lit("2024-01-20").cast("timestamp_ntz"), 3, 1)
+
+
+@_query("SELECT CAST(user_id AS VARCHAR) AS key, props AS value FROM events WHERE event_id % 5 <> 0")
+def lenient_passthrough(spark, folder):
+    """Documents of any shape, keyed by a field and written as they came; what doesn't parse is skipped."""
+    events = _events(spark, folder)
+    text = F.concat(F.lit('{"k":{"user":'), F.col("user_id").cast("string"), F.lit(',"props":'), F.to_json(F.struct("props")), F.lit("}}"))
+    docs = decode.lenient(events.select(F.when(F.col("event_id") % 5 == 0, F.substring(text, 1, 9)).otherwise(text).alias("value")))
+    inner = docs.select(F.try_variant_get("doc", "$.k", "variant").alias("doc"))
+    keyed = encode.document_messages(inner, "doc", "user")
+    return keyed.select("key", F.get_json_object("value", "$.props.props").alias("value"))
+
+
 @_query("SELECT event_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS bucket, CAST(floor(epoch(ts) / 7200) AS BIGINT) AS bucket2 FROM events")
 def bucket_assign(spark, folder):
     ts = F.col("ts")

@@ -22,6 +22,12 @@ class Sink(ABC):
     def write(self, df: DataFrame, batch: int = 0) -> None:
         """Stores all rows of `df` before it returns."""
 
+    def write_arrow(self, spark, data, batch: int = 0) -> None:
+        """The same for an Arrow table or record batch."""
+        import pyarrow as pa
+
+        self.write(spark.createDataFrame(pa.Table.from_batches([data]) if isinstance(data, pa.RecordBatch) else data), batch)
+
     def write_rows(self, spark, rows: list[dict], schema, batch: int = 0) -> None:
         """The same for rows given as dicts, under an explicit schema."""
         self.write(spark.createDataFrame([tuple(r.get(f.name) for f in schema.fields) for r in rows], schema), batch)
@@ -33,30 +39,37 @@ class Sink(ABC):
         self.flush()
 
 
-class KafkaSink(Sink):
-    """Needs Spark's Kafka connector on the class path."""
+class MessageSink(Sink):
+    """A sink of encoded messages; rows are encoded as the topic's format and key column say."""
 
-    def __init__(self, settings: KafkaOutput):
+    def __init__(self, settings: KafkaOutput | FileOutput):
         self.settings = settings
 
+    def write(self, df: DataFrame, batch: int = 0) -> None:
+        topic = self.settings.topic
+        self.write_messages(encode(df, topic.format, topic.key_column), batch)
+
+    @abstractmethod
+    def write_messages(self, messages: DataFrame, batch: int = 0) -> None:
+        """Stores messages (key, value)."""
+
+
+class KafkaSink(MessageSink):
+    """Needs Spark's Kafka connector on the class path."""
+
     def options(self) -> dict[str, str]:
         c = self.settings.connection
         return {"kafka.bootstrap.servers": c.broker, "topic": self.settings.topic.name, **{f"kafka.{k}": v for k, v in c.options.items()}}
 
-    def write(self, df: DataFrame, batch: int = 0) -> None:
-        topic = self.settings.topic
-        encode(df, topic.format, topic.key_column).write.format("kafka").options(**self.options()).save()
+    def write_messages(self, messages: DataFrame, batch: int = 0) -> None:
+        messages.write.format("kafka").options(**self.options()).save()
 
 
-class FileSink(Sink):
+class FileSink(MessageSink):
     """Messages as Parquet, a folder per batch; a batch that is written again replaces its folder."""
 
-    def __init__(self, settings: FileOutput):
-        self.settings = settings
-
-    def write(self, df: DataFrame, batch: int = 0) -> None:
-        topic = self.settings.topic
-        encode(df, topic.format, topic.key_column).write.mode("overwrite").parquet(f"{self.settings.path}/batch={batch}")
+    def write_messages(self, messages: DataFrame, batch: int = 0) -> None:
+        messages.write.mode("overwrite").parquet(f"{self.settings.path}/batch={batch}")
 
 
 class TableSink(Sink):

@@ -1,4 +1,4 @@
-"""python -m millrace.streaming el|dedup [settings file]: runs a pipeline until it is stopped."""
+"""python -m millrace.streaming el|dedup|documents [settings file]: runs a pipeline until it is stopped."""
 
 from __future__ import annotations
 
@@ -8,9 +8,9 @@ import sys
 from pyspark.sql import SparkSession
 
 from millrace.config import DedupApp, ElApp, load
-from millrace.streaming.nodes import start_dedup, start_el
+from millrace.streaming.nodes import start_dedup, start_documents, start_el
 
-PIPELINES = {"el": (ElApp, start_el), "dedup": (DedupApp, start_dedup)}
+PIPELINES = {"el": (ElApp, start_el), "dedup": (DedupApp, start_dedup), "documents": (ElApp, start_documents)}
 
 
 def main(args: list[str]) -> int:

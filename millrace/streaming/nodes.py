@@ -13,22 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.config import DedupApp, ElApp
-from millrace.functions.decode import strict
-from millrace.sinks import Sink, build_sink
+from millrace.functions.decode import lenient, strict
+from millrace.functions.encode import document_messages
+from millrace.sinks import MessageSink, Sink, build_sink
 from millrace.sources import build_source
 from millrace.streaming.dedup import dedup_stream, guard_state
 
 log = logging.getLogger(__name__)
+_ALWAYS = {"processingTime": "0 seconds"}
 
 
-def _start(rows: DataFrame, sink: Sink, checkpoint: str, columns: list[str], trigger: dict, name: str) -> StreamingQuery:
+def _start(rows: DataFrame, deliver, checkpoint: str, columns: list[str], trigger: dict, name: str) -> StreamingQuery:
+    """Runs `deliver(batch, number)` on each batch that has rows."""
+
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.select(*[f"`{c}`" for c in columns]).persist()
         try:
             count = batch.count()
             if count:
-                sink.write(batch, number)
-                sink.flush()
+                deliver(batch, number)
             log.info("%s: batch %d, %d rows delivered", name, number, count)
         finally:
             batch.unpersist()
@@ -36,16 +39,37 @@ def _start(rows: DataFrame, sink: Sink, checkpoint: str, columns: list[str], tri
     return rows.writeStream.queryName(name).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def _rows_to(sink: Sink):
+    def deliver(batch: DataFrame, number: int) -> None:
+        sink.write(batch, number)
+        sink.flush()
+
+    return deliver
+
+
 def _sinks(app: ElApp | DedupApp) -> Sink:
     return build_sink(app.output, build_sink(app.dlq) if app.dlq is not None else None)
 
 
 def start_el(spark: SparkSession, app: ElApp, *, sink: Sink | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Messages of the input, decoded, to the output."""
-    messages = build_source(spark, app.input)
+    """Messages of the input, decoded strictly, to the output."""
     schema = app.input.topic.schema
-    rows = strict(messages, schema, observe="decode")
-    return _start(rows, sink or _sinks(app), app.checkpoint, list(schema), trigger or {"processingTime": "0 seconds"}, "el")
+    rows = strict(build_source(spark, app.input), schema, observe="decode")
+    return _start(rows, _rows_to(sink or _sinks(app)), app.checkpoint, list(schema), trigger or _ALWAYS, "el")
+
+
+def start_documents(spark: SparkSession, app: ElApp, *, sink: MessageSink | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Messages of any shape to a sink of messages, without a schema; those that don't parse are counted and skipped."""
+    sink = sink or build_sink(app.output)
+    if not isinstance(sink, MessageSink):
+        raise ValueError("documents of any shape need a sink of messages")
+    docs = lenient(build_source(spark, app.input), observe="decode")
+
+    def deliver(batch: DataFrame, number: int) -> None:
+        sink.write_messages(document_messages(batch, "doc", app.output.topic.key_column), number)
+        sink.flush()
+
+    return _start(docs, deliver, app.checkpoint, ["doc"], trigger or _ALWAYS, "documents")
 
 
 def start_dedup(spark: SparkSession, app: DedupApp, *, sink: Sink | None = None, trigger: dict | None = None, clock=None) -> StreamingQuery:
@@ -57,4 +81,4 @@ def start_dedup(spark: SparkSession, app: DedupApp, *, sink: Sink | None = None,
     if clock is not None:
         rows = rows.withColumn("_clock", clock)
     kept = dedup_stream(rows, app.dedup.field, window_hours=app.dedup.window_hours, bucket_hours=app.dedup.bucket_hours, clock="_clock" if clock is not None else None)
-    return _start(kept, sink or _sinks(app), f"{app.dedup.store_dir}/query", list(schema), trigger or {"processingTime": "0 seconds"}, "dedup")
+    return _start(kept, _rows_to(sink or _sinks(app)), f"{app.dedup.store_dir}/query", list(schema), trigger or _ALWAYS, "dedup")

@@ -114,5 +114,10 @@ def test_sinks_by_type(file, spark, tmp_path):
     assert [(r.key, r.value) for r in spark.read.parquet(str(tmp_path / "o")).orderBy("key").collect()] == [("0", '{"id":0}'), ("1", '{"id":1}')]
     rows, config_schema = MemorySink(), spark.createDataFrame([], "id long").schema
     rows.write_rows(spark, [{"id": 4}, {"other": 1}], config_schema)
+    import pyarrow as pa
+
+    table = pa.table({"id": [7, 8]})
+    rows.write_arrow(spark, table, 1)
+    rows.write_arrow(spark, table.to_batches()[0], 1)
     rows.close()
-    assert [r.id for r in rows.rows] == [4, None] and isinstance(rows, Sink)
+    assert [r.id for r in rows.rows] == [4, None, 7, 8, 7, 8] and isinstance(rows, Sink)

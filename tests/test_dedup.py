@@ -66,6 +66,10 @@ def test_marks(spark):
     old = spark.createDataFrame([("a", at(0)), ("a", at(10)), (None, at(0)), ("b", at(7200))], "k string, t timestamp_ntz")
     marks = dedup.mark_seen(old, "k", "t", 1)
     assert sorted(map(tuple, marks.collect())) == [("a", 0), ("b", 2)]
+    assert dedup.contains(marks, "a") and not dedup.contains(marks, "c")
+    from pyspark.sql import functions as F
+
+    assert sorted(map(tuple, dedup.live_marks(marks, F.lit("1970-01-01 03:00:00").cast("timestamp_ntz"), 3, 1).collect())) == [("b", 2)]
     new = spark.createDataFrame([("a", at(10800)), ("b", at(10800)), ("c", at(10800)), (None, at(10800)), ("b", at(0))], "k string, t timestamp_ntz")
     assert sorted(str(r.k) for r in dedup.not_live(new, "k", marks, "t", 3, 1).collect()) == ["None", "a", "c"]
 

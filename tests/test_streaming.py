@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace import config
 from millrace.functions.buckets import live_buckets
 from millrace.sinks import MemorySink
-from millrace.streaming.nodes import start_dedup, start_el
+from millrace.streaming.nodes import start_dedup, start_documents, start_el
 
 HOUR = 3_600_000
 SCHEMA = {"uid": "string", "time": "timestamp[ms]", "val": "int64"}
@@ -112,7 +112,20 @@ def test_el_delivers_to_files(spark, tmp_path):
     assert query.recentProgress[0].observedMetrics["decode"].asDict() == {"messages": 3, "rows": 2}
 
 
+def test_documents_pass_without_a_schema(spark, tmp_path):
+    s = Stream(spark, tmp_path)
+    s.put('{"uid":"a","deep":{"x":[1,null]}}', "not json", '{"uid":null}', '{"other":true}')
+    out = config.FileOutput(str(tmp_path / "out"), config.KafkaTopic("o", key_column="uid"))
+    query = start_documents(spark, config.ElApp(s.app.input, out, checkpoint=str(tmp_path / "docs")), trigger={"availableNow": True})
+    query.awaitTermination()
+    got = {r.value: r.key for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {'{"deep":{"x":[1,null]},"uid":"a"}': "a", '{"uid":null}': "None", '{"other":true}': None}
+    assert query.recentProgress[0].observedMetrics["decode"].asDict() == {"messages": 4, "rejected": 1}
+    with pytest.raises(ValueError, match="sink of messages"):
+        start_documents(spark, config.ElApp(s.app.input, out), sink=MemorySink())
+
+
 def test_cli_usage(capsys):
     from millrace.streaming.__main__ import main
 
-    assert main([]) == 2 and "el|dedup" in capsys.readouterr().err
+    assert main([]) == 2 and "el|dedup|documents" in capsys.readouterr().err
