@@ -237,7 +237,7 @@ def with_next(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text") ->
     guests = docs.sparkSession.createDataFrame([*before.items()], "_o long, _before int")
     dealt = rows.join(F.broadcast(guests), "_o", "left").withColumn("_to", F.explode(F.filter(F.array(F.struct(F.col("_run").alias("run"), F.lit(False).alias("guest")), F.struct(F.col("_before").alias("run"), F.lit(True).alias("guest"))), lambda x: x["run"].isNotNull())))
     dealt = dealt.select("doc_id", "_text", "_o", F.col("_to.run").alias("_run"), F.col("_to.guest").alias("_guest"))
-    return dealt.repartitionByRange(n, "_run").sortWithinPartitions("_run", "_guest", F.col("_o").desc(), "_text").select("doc_id", "_text", "_run", "_guest"), n
+    return dealt.repartitionById(n, F.col("_run")).sortWithinPartitions("_run", "_guest", F.col("_o").desc(), "_text").select("doc_id", "_text", "_run", "_guest"), n
 
 
 def edited(text: str, following: str) -> str:
