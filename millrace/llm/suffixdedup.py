@@ -5,7 +5,8 @@
    a span, and every window is in exactly one.
 2. A key that occurs once in the corpus, by one string of its span, has no repeated window; that span is dropped. Of the rest, spans equal in full
    are kept once, with their number, before any text moves: a passage in a third of all documents is one text here.
-3. Texts of keys with several different spans go to shards by key. Each shard is one string, sorted by external
+3. Texts of keys with several different spans go to shards by key (of a key with over `KEY_TEXTS` of them, which would be
+   too many for a task, the single windows are dealt out instead). Each shard is one string, sorted by external
    induction (`suffixes`); neighbours in suffix order with a common prefix of LENGTH bytes are equal windows.
 4. Spans take the repeated windows of their text back, documents their spans; covered bytes are removed.
 
@@ -39,6 +40,8 @@ RUN = 1024
 SHARD_BYTES = 2_500_000
 #: Texts are hashed in blocks of about so many bytes; longer ones in pieces that overlap by a window.
 BLOCK_BYTES = 500_000
+#: Different texts of one key that are sorted in a shard; the windows of a key with more are dealt out one by one.
+KEY_TEXTS = 10_000
 _BASE, _BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
@@ -56,6 +59,35 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
     return np.cumprod(out)
 
 
+def _hashes(block: list[bytes], length: int) -> tuple[np.ndarray, int]:
+    """Hash of the string of `gram` bytes at each place of the joined texts, and gram, a power of two up to `length`."""
+    h, power, k = _BYTE[np.frombuffer(b"".join(block), np.uint8)], 0x9E3779B97F4A7C15, 1
+    while k * 2 <= min(GRAM, length):
+        h = h[:-k] * np.uint64(power) + h[k:]
+        power, k = power * power % (1 << 64), k * 2
+    return _mix(h), k
+
+
+def _content(h: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Hash of the `count` strings from each of `begin` on; `begin` ascends."""
+    sums = np.r_[np.uint64(0), np.cumsum(_mix(h + _BASE) * _powers(len(h), _BASE))]
+    return _mix((sums[begin + count] - sums[begin]) * _powers(int(begin[-1]) + 1, _BACK)[begin] + count.astype(np.uint64))
+
+
+def single_windows(block: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(text, start, key, content) of every window by itself; its key are its first and last strings."""
+    size = np.array([len(b) for b in block], np.int64)
+    windows = np.maximum(0, size - length + 1)
+    if not windows.any():
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
+    h, gram = _hashes(block, length)
+    start, ends = np.cumsum(size) - size, np.cumsum(windows)
+    at = np.arange(ends[-1]) + np.repeat(start - (ends - windows), windows)
+    text = np.repeat(np.arange(len(block)), windows)
+    key = _mix(h[at] * np.uint64(3) + h[at + length - gram])
+    return text, at - start[text], key, _content(h, at, np.full(len(at), length - gram + 1))
+
+
 def spans(block: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """(text, start, windows, key, content) of all spans of a block's texts; content tells spans of one key apart.
 
@@ -65,12 +97,7 @@ def spans(block: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     windows = np.maximum(0, size - length + 1)
     if not windows.any():
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    gram = min(GRAM, length)
-    h, power, k = _BYTE[np.frombuffer(b"".join(block), np.uint8)], 0x9E3779B97F4A7C15, 1
-    while k * 2 <= gram:
-        h = h[:-k] * np.uint64(power) + h[k:]
-        power, k = power * power % (1 << 64), k * 2
-    gram, h = k, _mix(h)
+    h, gram = _hashes(block, length)
     low, k, width = h, 1, length - gram + 1
     while k * 2 <= width:
         low, k = np.minimum(low[:-k], low[k:]), k * 2
@@ -90,15 +117,14 @@ def spans(block: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
         run = np.repeat(run, pieces) + step * RUN
         n = np.minimum(RUN, np.repeat(n, pieces) - step * RUN)
     begin = at[run]
-    sums = np.r_[np.uint64(0), np.cumsum(_mix(h + _BASE) * _powers(len(h), _BASE))]
-    content = (sums[begin + n + length - gram] - sums[begin]) * _powers(int(begin[-1]) + 1, _BACK)[begin]
+    content = _content(h, begin, n + (length - gram))
     # equal windows of one span have the least string at the same offset, so it is there twice: those spans are marked
     wide = n + (length - gram)
     spot = np.cumsum(wide) - wide
     least = h[np.arange(wide.sum()) + np.repeat(begin - spot, wide)] == np.repeat(key[run], wide)
     twice = np.add.reduceat(least, spot, dtype=np.int64) > 1
     text = np.searchsorted(ends, run, "right")
-    return text, begin - start[text], np.where(twice, -n, n), key[run], _mix(content + n.astype(np.uint64))
+    return text, begin - start[text], np.where(twice, -n, n), key[run], content
 
 
 def _pieces(texts, length: int):
@@ -183,6 +209,27 @@ def _sort_shards(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, "key long, content long, a int, b int")
 
 
+def _deal_windows(texts: DataFrame, length: int) -> DataFrame:
+    """(key, content, weight, span) of keys with very many texts to the repeated window runs of these texts.
+
+    Such a key is a frequent passage with another continuation in each document. Its windows are counted one by one,
+    under the hash of the whole window, by an aggregate that combines on the map side: no task gets the whole key.
+    """
+
+    def run(batches):
+        for batch in batches:
+            key, content, weight = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            for start in range(0, batch.num_rows, 1000):
+                block = batch.column(3).slice(start, 1000).to_pylist()
+                text, at, window, rest = single_windows(block, length)
+                text = text + start
+                yield pa.RecordBatch.from_arrays([pa.array(window.view(np.int64)), pa.array(rest.view(np.int64)), pa.array(key[text]), pa.array(content[text]), pa.array(weight[text]), pa.array(at.astype(np.int32))], names=["w", "r", "key", "content", "weight", "a"])
+
+    windows = cut(texts.select("key", "content", "weight", "span").mapInArrow(run, "w long, r long, key long, content long, weight long, a int"), "suffix-windows")
+    again = windows.groupBy("w", "r").agg(F.sum("weight").alias("_n")).where("_n > 1").select("w", "r")
+    return windows.where("weight = 1").join(again, ["w", "r"]).select("key", "content", "a", (F.col("a") + 1).alias("b"))
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, *, row_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, n_bytes, removed (array of [start, end) in bytes, maximal), kept (binary) and `carried_<name>`."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -198,12 +245,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, *, row_id: str = "doc_
     keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("n").alias("_own")).where("_n > 1 or _own < 0").select("key")
     met = cut(found.join(keys, "key", "left_semi"), "suffix-spans")
     distinct = cut(met.groupBy("key", "content").agg(F.count(F.lit(1)).alias("weight"), F.min("n").alias("n"), F.min(F.struct("_d", "_c", "start")).alias("at")), "suffix-texts")
-    several = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("n").alias("_own")).where("_n > 1 or _own < 0").select("key")
-    compared = cut(distinct.join(several, "key", "left_semi").select("key", "content", "weight", F.abs("n").alias("n"), F.col("at._d").alias("_d"), F.col("at._c").alias("_c"), F.col("at.start").alias("start")), "suffix-compared")
-    total = compared.agg(F.sum(F.col("n") + (length - 1))).first()[0] or 0
+    several = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("n").alias("_own")).where("_n > 1 or _own < 0").select("key", "_n")
+    compared = cut(distinct.join(several, "key").select("key", "content", "weight", F.abs("n").alias("n"), F.col("at._d").alias("_d"), F.col("at._c").alias("_c"), F.col("at.start").alias("start"), (F.col("_n") > KEY_TEXTS).alias("_many")), "suffix-compared")
+
+    def texts_of(part: DataFrame) -> DataFrame:
+        span = F.expr(f"substring(cast(_text as binary), start + 1, n + {length - 1})").alias("span")
+        return part.join(rows.hint("merge"), ["_d", "_c"]).select("key", "content", "weight", span, "doc_id", *[f"carried_{c}" for c in carry])
+
+    total = compared.where("not _many").agg(F.sum(F.col("n") + (length - 1))).first()[0] or 0
     shards = max(partitions(docs.sparkSession), -(-total // SHARD_BYTES))
-    texts = compared.join(rows.hint("merge"), ["_d", "_c"]).select("key", "content", "weight", F.expr(f"substring(cast(_text as binary), start + 1, n + {length - 1})").alias("span"), "doc_id", *[f"carried_{c}" for c in carry])
-    runs = _sort_shards(texts.repartition(shards, "key"), length)
+    runs = _sort_shards(texts_of(compared.where("not _many")).repartition(shards, "key"), length)
+    if not (many := compared.where("_many")).isEmpty():
+        runs = runs.union(_deal_windows(texts_of(many).dropDuplicates(["key", "content"]), length))
     whole = distinct.where("weight > 1").select("key", "content", F.lit(0).alias("a"), F.abs("n").alias("b"))
     marks = met.join(whole.union(runs), ["key", "content"]).select("_d", "_c", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + (length - 1)).alias("b"))
     lists = marks.groupBy("_d", "_c").agg(F.collect_list(F.struct("a", "b")).alias("_marks"))

@@ -74,6 +74,16 @@ def test_small_strings_equal_brute_force(spark, length):
     assert run(spark, texts, length) == plain([t.encode() for t in texts], length)
 
 
+@pytest.mark.parametrize("length", [5, 40])
+def test_keys_with_many_texts(spark, monkeypatch, length):
+    monkeypatch.setattr(D, "KEY_TEXTS", 1)
+    rng = np.random.default_rng(length)
+    passage = "".join(rng.choice(list("abcd"), 120))
+    texts = ["".join(rng.choice(list("abcdé"), 60)) + passage + "".join(rng.choice(list("abcdé"), 60)) for _ in range(12)]
+    texts += [texts[0], passage, "x" * 90, passage[:60] + passage[:60]]
+    assert run(spark, texts, length) == plain([t.encode() for t in texts], length)
+
+
 def test_long_texts_are_taken_in_pieces(spark, monkeypatch):
     rng = np.random.default_rng(5)
     text = "".join(rng.choice(list("abcdefgh"), 3000))
