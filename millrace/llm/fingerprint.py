@@ -38,7 +38,7 @@ FILTER_BITS = 2048
 PER_FILTER = 160
 HASHES = 5
 BINS = 1024
-#: Texts are taken in blocks of about so many bytes, to bound memory; a longer text is a block of its own.
+#: Texts are taken in blocks of about so many bytes, to bound memory; longer ones in pieces.
 BLOCK_BYTES = 750_000
 _LANE = 512
 #: Integer steps of c log2 c from c to c + 1, so that sliding sums are exact.
@@ -77,6 +77,8 @@ def _spans(block: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def histogram(block: list[bytes]) -> np.ndarray:
     """Windows of the block's texts by entropy bin."""
+    if len(block) == 1 and len(block[0]) > 2 * BLOCK_BYTES:  # in pieces that share WINDOW - 1 bytes
+        return sum(histogram([block[0][a : a + BLOCK_BYTES + WINDOW - 1]]) for a in range(0, len(block[0]) - WINDOW + 1, BLOCK_BYTES))
     raw, start, size = _spans(block)
     if len(raw) < WINDOW:
         return np.zeros(BINS, np.int64)
@@ -97,25 +99,56 @@ def _hash(features: np.ndarray) -> np.ndarray:
     return h
 
 
+def _winners(raw: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For each place, the leftmost window of lowest rank in the run of windows from there on (fewer at the end)."""
+    low = (rank[entropy_bins(raw)].astype(np.int64) << 40) | np.arange(len(raw) - WINDOW + 1)
+    step = 1
+    while step < RUN:
+        low[:-step] = np.minimum(low[:-step], low[step:])
+        step *= 2
+    return low & ((1 << 40) - 1)
+
+
+def _points(best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, points): how many neighbouring runs chose each place; places ascend."""
+    turn = np.flatnonzero(np.r_[True, best[1:] != best[:-1]]) if len(best) else np.zeros(0, np.int64)
+    return best[turn], np.diff(np.r_[turn, len(best)])
+
+
+def _unique(hashes: np.ndarray) -> np.ndarray:
+    _, at = np.unique(hashes, return_index=True)
+    return hashes[np.sort(at)]
+
+
+def _long_features(text: bytes, rank: np.ndarray) -> np.ndarray:
+    """`features` of one long text, taken in pieces that overlap by a run of windows."""
+    raw = np.frombuffer(text, np.uint8)
+    runs, found = len(raw) - WINDOW - RUN + 2, []
+    for a in range(0, runs, BLOCK_BYTES):
+        b = min(runs, a + BLOCK_BYTES)
+        place, points = _points(_winners(raw[a : b + RUN + WINDOW - 2], rank)[: b - a])
+        found.append((place + a, points))
+    place, points = (np.concatenate(x) for x in zip(*found, strict=True))
+    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])  # a place may win on both sides of a cut
+    place, points = place[first], np.add.reduceat(points, first)
+    chosen = place[points >= min(POINTS, points.max())]
+    windows = np.lib.stride_tricks.sliding_window_view(raw, WINDOW)
+    return _unique(np.concatenate([_hash(windows[chosen[k : k + 65_536]]) for k in range(0, len(chosen), 65_536)]))
+
+
 def features(block: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
     """Hashes of the chosen features of each text, in order and distinct."""
+    if len(block) == 1 and len(block[0]) > BLOCK_BYTES + FEW:
+        return [_long_features(block[0], rank)]
     raw, start, size = _spans(block)
     windows = np.maximum(0, size - WINDOW + 1)
     chosen = [np.zeros(0, np.int64)] * len(block)
     if len(raw) >= WINDOW:
-        n = len(raw) - WINDOW + 1
-        key = (rank[entropy_bins(raw)].astype(np.int64) << 40) | np.arange(n)
-        low = key.copy()
-        step = 1
-        while step < RUN:
-            low[:-step] = np.minimum(low[:-step], low[step:])
-            step *= 2
+        winners = _winners(raw, rank)
         runs = np.maximum(0, windows - RUN + 1)
         ends = np.cumsum(runs)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - runs), runs)
-        best = low[at] & ((1 << 40) - 1)
-        turn = np.flatnonzero(np.r_[True, best[1:] != best[:-1]]) if len(best) else np.zeros(0, np.int64)
-        points, place = np.diff(np.r_[turn, len(best)]), best[turn]
+        place, points = _points(winners[at])
         first = np.searchsorted(place, start)
         last = np.searchsorted(place, start + size)
         for k in np.flatnonzero(windows):
@@ -133,8 +166,7 @@ def features(block: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
             short = np.frombuffer(block[k], np.uint8)
             short = np.lib.stride_tricks.sliding_window_view(short, min(SHORT, max(1, len(short) // 4)))
             own = np.r_[own, _hash(np.pad(short, ((0, 0), (0, WINDOW - short.shape[1])))) + np.uint64(1)]
-        _, at = np.unique(own, return_index=True)
-        out.append(own[np.sort(at)])
+        out.append(_unique(own))
     return out
 
 

@@ -64,8 +64,7 @@ def statistics(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text") -
 
     def run(batches):
         for batch in batches:
-            rows = [textstats.statistics(b) for b in textstats.blocks(batch.column(1).to_pylist())]
-            flat = np.concatenate(rows).ravel() if rows else np.zeros(0)
+            flat = textstats.statistics(t.as_py() for t in batch.column(1)).ravel()
             x = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, _K), pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), x], names=["doc_id", "x"])
 

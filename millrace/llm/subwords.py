@@ -7,8 +7,8 @@ import numpy as np
 #: n-gram lengths in UTF-8 bytes; a boundary mark may be the first or last of them.
 NGRAMS = (3, 4, 5, 6)
 BUCKET_BITS = 18
-#: Texts are taken in blocks of about so many bytes, to bound memory; a longer text is a block of its own.
-BLOCK_BYTES = 2_000_000
+#: Texts are taken in blocks of about so many bytes, to bound memory; longer ones in pieces.
+BLOCK_BYTES = 1_000_000
 
 _CLASS = np.zeros(256, np.uint32)  # 0: boundary
 _CLASS[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = np.arange(1, 37)
@@ -16,16 +16,26 @@ _CLASS[128:] = np.arange(128, 256)
 _BASE = 0x01000193
 
 
+def pieces(raw: bytes):
+    """A text in parts of at most BLOCK_BYTES that end at word boundaries, so that their n-grams are the text's."""
+    while len(raw) > BLOCK_BYTES:
+        marks = np.flatnonzero(_CLASS[np.frombuffer(raw[:BLOCK_BYTES], np.uint8)] == 0)
+        end = int(marks[-1]) if len(marks) and marks[-1] else BLOCK_BYTES  # a longer word is cut
+        yield raw[:end]
+        raw = raw[end:]
+    yield raw
+
+
 def blocks(texts):
-    """Lists of lower-cased UTF-8 texts with at most about BLOCK_BYTES together; None counts as empty."""
+    """Lists of (text number, lower-cased UTF-8 piece) of at most about BLOCK_BYTES together; None counts as empty."""
     got, size = [], 0
-    for t in texts:
-        b = (t or "").lower().encode()
-        if got and size + len(b) > BLOCK_BYTES:
-            yield got
-            got, size = [], 0
-        got.append(b)
-        size += len(b)
+    for k, text in enumerate(texts):
+        for piece in pieces((text or "").lower().encode()):
+            if got and size + len(piece) > BLOCK_BYTES:
+                yield got
+                got, size = [], 0
+            got.append((k, piece))
+            size += len(piece)
     if got:
         yield got
 

@@ -38,16 +38,23 @@ BATCH = 32
 
 def _bags(texts):
     """The distinct n-grams of each text, as buckets; every n-gram of a text has the same share in its mean."""
-    place = np.zeros(1 << subwords.BUCKET_BITS, np.int32)
+    place, at, held = np.zeros(1 << subwords.BUCKET_BITS, np.int32), 0, []
+
+    def distinct(own):
+        order = np.arange(len(own), dtype=np.int32)
+        place[own] = order  # the last of equal buckets stays
+        return own[place[own] == order]
+
     for block in subwords.blocks(texts):
-        buckets, counts = subwords.ngrams(block)
-        cuts = np.cumsum(counts.ravel())[:-1]
-        parts = np.split(buckets, cuts)
-        for k in range(len(block)):
-            own = np.concatenate(parts[k :: len(block)])
-            order = np.arange(len(own), dtype=np.int32)
-            place[own] = order  # the last of equal buckets stays
-            yield own[place[own] == order]
+        buckets, counts = subwords.ngrams([piece for _, piece in block])
+        parts = np.split(buckets, np.cumsum(counts.ravel())[:-1])
+        for k, (text, _) in enumerate(block):
+            if text != at:
+                yield distinct(np.concatenate(held))
+                at, held = text, []
+            held = [distinct(np.concatenate([*held, *parts[k :: len(block)]]))]
+    if held:
+        yield held[0]
 
 
 @dataclass(frozen=True)

@@ -42,6 +42,14 @@ def test_features_equal_the_plain_version_and_ignore_the_block():
             assert len(got) == len(hashes)
 
 
+def test_long_texts_are_taken_in_pieces(monkeypatch):
+    rank = np.random.default_rng(3).permutation(P.BINS)
+    text = bytes(np.random.default_rng(4).integers(97, 110, 9000).tolist()) + b"xyz" * 500
+    whole, counts = P.features([text], rank)[0].tolist(), P.histogram([text]).tolist()
+    monkeypatch.setattr(P, "BLOCK_BYTES", 700)
+    assert P.features([text], rank)[0].tolist() == whole and P.histogram([text]).tolist() == counts
+
+
 def test_likeness():
     rank = np.arange(P.BINS)
     chain = [P.digest(h) for h in P.features([*TEXTS, TEXTS[-1][:2000] + TEXTS[5] * 5], rank)]

@@ -30,6 +30,15 @@ def test_ngrams_equal_the_plain_version():
     assert set(same) <= set(again)
 
 
+def test_long_texts_are_taken_in_pieces(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [" ".join("".join(rng.choice(list("abcé"), rng.integers(1, 9))) for _ in range(n)) for n in (400, 1, 900, 3)] + [None, "x" * 50]
+    whole = [set(b.tolist()) for b in toxicity._bags(texts)]
+    monkeypatch.setattr(subwords, "BLOCK_BYTES", 300)
+    cut = list(toxicity._bags(texts))
+    assert [set(b.tolist()) for b in cut] == whole and all(len(b) == len(set(b.tolist())) for b in cut)
+
+
 def test_a_misspelling_shares_its_word_vectors():
     rng = np.random.default_rng(0)
     good = [" ".join(rng.choice(["river", "stone", "cloud", "green", "walk"], 8)) for _ in range(60)]
@@ -39,12 +48,18 @@ def test_a_misspelling_shares_its_word_vectors():
     assert seen > 0.5 and unseen > 0.5 and clean < 0.5
 
 
-def test_statistics_are_finite_and_independent_of_the_block():
-    texts = [b"", b" ", b"a", b"Hello there, world!", "é ".encode() * 50, b"x" * 1000, b"A! " * 40, b"\n\n\n"]
+def test_statistics_are_finite_and_independent_of_the_blocks(monkeypatch):
+    texts = ["", " ", "a", "Hello there, world!", "é " * 50, "x" * 1000, "A! " * 40, "\n\n\n", None, "one two three\n" * 30, "end"]
     whole = textstats.statistics(texts)
     assert whole.shape == (len(texts), len(textstats.NAMES)) and np.isfinite(whole).all()
     for k, t in enumerate(texts):
         assert np.allclose(textstats.statistics([t])[0], whole[k]), t
+    texts[5] = "short"  # a word that is longer than a block is cut
+    whole = textstats.statistics(texts)
+    for size in (20, 64, 300):
+        monkeypatch.setattr(textstats, "BLOCK_BYTES", size)
+        assert np.allclose(textstats.statistics(texts), whole), size
+    assert textstats.statistics([]).shape == (0, len(textstats.NAMES))
 
 
 def test_odd_rows(spark, odd):
