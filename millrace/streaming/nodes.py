@@ -2,7 +2,8 @@
 
 Each micro-batch is decoded strictly, written, and then committed by the query's checkpoint; a batch that fails to
 decode or to write stops the query and is read again at the next start. Batch counts arrive in the query's progress as
-observed metrics, and are logged.
+observed metrics (`decode`: messages and rows or rejected ones; `dedup`: rows produced and keys marked, the difference
+to the rows read being duplicates), and deliveries are logged.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import logging
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.config import DedupApp, ElApp
@@ -81,4 +83,6 @@ def start_dedup(spark: SparkSession, app: DedupApp, *, sink: Sink | None = None,
     if clock is not None:
         rows = rows.withColumn("_clock", clock)
     kept = dedup_stream(rows, app.dedup.field, window_hours=app.dedup.window_hours, bucket_hours=app.dedup.bucket_hours, clock="_clock" if clock is not None else None)
+    named = F.col(f"`{app.dedup.field}`").isNotNull() if app.dedup.field in kept.columns else F.lit(False)
+    kept = kept.observe("dedup", F.count(F.lit(1)).alias("produced"), F.count_if(named).alias("marked"))
     return _start(kept, _rows_to(sink or _sinks(app)), f"{app.dedup.store_dir}/query", list(schema), trigger or _ALWAYS, "dedup")

@@ -40,8 +40,10 @@ def test_within_a_batch_across_batches_and_after_restart(spark, tmp_path):
     s = Stream(spark, tmp_path)
     s.put(("x", 0, 1), ("x", 0, 2), (None, 0, 3), (None, 0, 4))
     s.put(("x", HOUR, 5), ("y", HOUR, 6))
-    s.run()
+    query = s.run()
     assert s.values() == [1, 3, 4, 6]
+    counts = [p.observedMetrics["dedup"].asDict() for p in query.recentProgress if "dedup" in p.observedMetrics]
+    assert counts[:2] == [{"produced": 3, "marked": 1}, {"produced": 1, "marked": 1}]
     s.put(("x", 2 * HOUR, 7), ("y", 4 * HOUR, 8), (None, 4 * HOUR, 9))
     s.run()
     assert s.values() == [1, 3, 4, 6, 8, 9]
