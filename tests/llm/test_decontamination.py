@@ -1,31 +1,8 @@
-import re
-
 import pytest
 
 from millrace.llm import decontamination as D
-
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-
-
-def words(text):
-    return WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-
-
-def plain(docs, items, window):
-    out = []
-    for text in docs:
-        own, hit, found = words(text), set(), set()
-        for item, body in items:
-            w = words(body)
-            for i in range(max(1, len(w) - window + 1) if w else 0):
-                win = w[i : i + window]
-                for j in range(len(own) - len(win) + 1):
-                    if own[j : j + len(win)] == win:
-                        hit.update(range(j, j + len(win)))
-                        found.add("null" if item is None else str(item))
-        out.append((len(own), len(hit), sorted(found)))
-    return out
-
+from tests.llm.plain import contained as plain
+from tests.llm.plain import words
 
 DOCS = ["a b c d e f", "x A b C d", "b c d e", None, "", "...", "c c c c", "É é é x", "a b a b a b", "1 2 3", "a b c d e f g h a b c"]
 ITEMS = [(1, "a b c d"), (2, "B, c. d; e!"), (3, "c c"), (4, "É é"), (5, "2"), (6, None), (7, ""), (None, "a b"), (8, "a b c d"), (9, "a b a")]

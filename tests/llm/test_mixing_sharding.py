@@ -1,25 +1,10 @@
 import zlib
 from collections import Counter, defaultdict
-from fractions import Fraction
 
 import pytest
 
 from millrace.llm import mixing, sharding
-
-
-def water(sizes, weights, ratio, cap):
-    """Targets by resharing until none is above; exact."""
-    total, out, left = Fraction(sum(sizes)) * Fraction(ratio), {}, set(range(len(sizes)))
-    while left:
-        w = sum(weights[i] for i in left)
-        rest = total - sum(out.values())
-        over = [i for i in left if rest * weights[i] / w > cap * sizes[i]]
-        if not over:
-            return [float(out.get(i, rest * weights[i] / w)) for i in range(len(sizes))]
-        for i in over:
-            out[i] = Fraction(cap * sizes[i])
-            left.discard(i)
-    return [float(out[i]) for i in range(len(sizes))]
+from tests.llm.plain import water
 
 
 @pytest.mark.parametrize("sizes", [[10, 20, 30], [1000, 1, 1, 1], [1, 1, 1000, 7, 0], [0, 0], [5], [3, 3, 3, 3, 3, 3, 3]])

@@ -1,37 +1,12 @@
 import random
-import re
 
 import numpy as np
 import pytest
-import xxhash
 
 from millrace.llm import simhash as S
 from millrace.llm.components import components
-
-
-def plain(text):
-    w = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-    if not w:
-        return 0
-    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))]
-    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
-
-
-def groups(fps):
-    """Index of the smallest member of each one's component, by all pairs."""
-    root = list(range(len(fps)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in range(len(fps)):
-        for j in range(i + 1, len(fps)):
-            if (fps[i] ^ fps[j]).bit_count() <= 3:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    return [find(i) for i in range(len(fps))]
+from tests.llm.plain import groups
+from tests.llm.plain import simhash as plain
 
 
 @pytest.mark.parametrize("text", [None, "", " \t\n", "one", "One two", "a b c", "a b c d e a b c", "É x y z", "x " * 500])
