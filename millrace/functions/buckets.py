@@ -18,7 +18,8 @@ def live_buckets(window_hours: int, bucket_hours: int) -> int:
 
 def bucket(clock: Column, bucket_hours: int) -> Column:
     """Whole bucket lengths since the epoch; the session's time zone must be UTC for times without one."""
-    return F.floor(F.unix_micros(clock.cast("timestamp")) / F.lit(bucket_hours * 3_600_000_000)).cast("bigint")
+    micros, length = F.unix_micros(clock.cast("timestamp")), F.lit(bucket_hours * 3_600_000_000)
+    return ((micros - F.pmod(micros, length)) / length).cast("bigint")  # the division has no remainder, so it is exact
 
 
 def is_live(seen: Column, now: Column, window_hours: int, bucket_hours: int) -> Column:

@@ -74,6 +74,16 @@ def test_marks(spark):
     assert sorted(str(r.k) for r in dedup.not_live(new, "k", marks, "t", 3, 1).collect()) == ["None", "a", "c"]
 
 
+def test_buckets_are_exact(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.functions.buckets import bucket
+
+    edges = [(-1, -1), (0, 0), (3_599_999_999, 0), (3_600_000_000, 1), (36_000_000_000_000_000 - 1, 9_999_999), (36_000_000_000_000_000, 10_000_000), (-3_600_000_000, -1), (-3_600_000_001, -2)]
+    df = spark.createDataFrame([(m,) for m, _ in edges], "m long").select(bucket(F.timestamp_micros("m"), 1).alias("b"))
+    assert [r.b for r in df.collect()] == [b for _, b in edges]
+
+
 def test_bad_windows():
     for w, b in ((0, 1), (1, 0), (-1, 1)):
         with pytest.raises(ValueError, match="positive"):
