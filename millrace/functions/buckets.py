@@ -17,9 +17,16 @@ def live_buckets(window_hours: int, bucket_hours: int) -> int:
 
 
 def bucket(clock: Column, bucket_hours: int) -> Column:
-    """Whole bucket lengths since the epoch; the session's time zone must be UTC for times without one."""
-    micros, length = F.unix_micros(clock.cast("timestamp")), F.lit(bucket_hours * 3_600_000_000)
-    return ((micros - F.pmod(micros, length)) / length).cast("bigint")  # the division has no remainder, so it is exact
+    """Whole bucket lengths since the epoch. Times without a zone count as UTC, whatever the session's zone."""
+    micros = F.unix_micros(clock.cast("timestamp"))
+    local = F.unix_date(F.to_date(clock)).cast("bigint") * 24 + F.hour(clock)
+    hours = F.when(F.typeof(clock) == "timestamp_ntz", local).otherwise(_whole(micros, 3_600_000_000))
+    return _whole(hours, bucket_hours)
+
+
+def _whole(n: Column, length: int) -> Column:
+    """n / length rounded down; what is divided has no remainder, so it is exact."""
+    return ((n - F.pmod(n, F.lit(length))) / length).cast("bigint")
 
 
 def is_live(seen: Column, now: Column, window_hours: int, bucket_hours: int) -> Column:

@@ -43,7 +43,7 @@ def _value(doc: Column, field: str, want: Declared) -> Column:
         if want.low is not None and (want.low, want.high) != (-(2**63), 2**63 - 1):
             fits = integral & number.between(F.lit(str(want.low)).cast(want.sql), F.lit(str(want.high)).cast(want.sql))
         if want.result.simpleString() == "timestamp_ntz":
-            value = F.timestamp_millis(number).cast("timestamp_ntz")
+            value = F.timestamp_add("MILLISECOND", number, F.lit("1970-01-01").cast("timestamp_ntz"))  # no session zone comes in
         else:
             value = number.cast(want.result)
     empty = kind.isNull() | (kind == "VOID")

@@ -84,6 +84,21 @@ def test_buckets_are_exact(spark):
     assert [r.b for r in df.collect()] == [b for _, b in edges]
 
 
+def test_times_without_a_zone_are_utc_in_any_session(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.functions import decode
+    from millrace.functions.buckets import bucket
+
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([('{"t":1710055800000}',)], "value string")  # 2024-03-10 07:30 UTC, half past three in New York
+        got = decode.strict(df, {"t": "timestamp[ms]"}).select(F.col("t").cast("string").alias("t"), bucket(F.col("t"), 1).alias("b"), bucket(F.col("t"), 2).alias("c"))
+        assert tuple(got.first()) == ("2024-03-10 07:30:00", 475015, 237507)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_bad_windows():
     for w, b in ((0, 1), (1, 0), (-1, 1)):
         with pytest.raises(ValueError, match="positive"):
