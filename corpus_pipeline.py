@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, mixing, sharding, simhash, toxicity
+from millrace.llm import decontamination, mixing, nearcopies, sharding, toxicity
 from millrace.llm.common import table
 from millrace.stages import cut
 
@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (five-word shingles, likeness 0.8 or more), the one with the smallest id."""
+    return nearcopies.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ STAGES = [
     ("sharding", deal_shards),
 ]
 
-#: Training and SimHash aren't SQL; tests/llm holds the stages against brute-force versions.
+#: Training isn't SQL; tests/llm holds the stages against brute-force versions.
 ORACLE_SQL = None
 
 

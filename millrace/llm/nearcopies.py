@@ -1,0 +1,165 @@
+"""Near copies by the likeness of word shingles: an exact join, without a sketch that could miss a pair.
+
+A text is the set of the XXH64 hashes of its word shingles; two texts are near copies if their sets share at least
+`LIKE` (4/5) of their union, and groups are chains of such pairs. Equal sets collapse to one before any join. In
+whatever one order of all shingles, two sets that alike share one of their first n // 5 + 1 shingles (n: size of the
+set), so that only these are exchanged. The order puts rare shingles first, as counted in a sample; the sample
+decides how many candidates there are, never which pairs are found.
+
+Pairs are proposed in two rounds. First each set is held against the least and the greatest of those it shares a
+shingle with, which is linear in the members and joins large groups. Then every two sets that share a shingle, aren't in
+one group yet and may reach the likeness by their sizes are proposed. A sketch, the parities of the counts of hashes by
+their low bits, differs in no more places than the sets in members; pairs whose sketches differ too much for the
+likeness are dropped, which loses none. All others are decided on the whole sets.
+
+Defined cases: null and empty texts and texts of white space are copies of each other; a text of fewer words than a
+shingle is one shingle; null ids come last; a row repeated in full stays once; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from millrace.llm.components import components
+from millrace.llm.simhash import _SEED, _WORD
+from millrace.stages import cut
+
+SHINGLE = 5
+#: Numerator and denominator of the least share of the union.
+LIKE = (4, 5)
+#: One text of so many is counted for the order; shingles that stand in `COMMON` of these or more count as common.
+SAMPLE = 16
+COMMON = 3
+#: Common shingles that are told apart by their count; a bound of what is sent to the tasks.
+TABLE = 100_000
+#: Bits of a sketch, a multiple of 64. It tells sets of up to about twice as many members apart; larger ones are compared whole.
+BITS = 2048
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles."""
+    own = _WORD.findall((text or "").encode().lower())
+    line = b" ".join(own)
+    starts = np.zeros(len(own) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1, out=starts[1:])
+    n = max(1, len(own) - shingle + 1)
+    firsts, lasts = starts[:n].tolist(), (starts[min(shingle, len(own)) :][:n] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(line[i : max(i, j)], _SEED) for i, j in zip(firsts, lasts, strict=True)), np.uint64, n)
+    return np.unique(hashes.view(np.int64))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
+
+
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(key, text) to (key, hashes)."""
+
+    def run(batches):
+        for batch in batches:
+            keys, texts = batch.column(0), batch.column(1)
+            for k in range(0, len(keys), 64):
+                yield pa.RecordBatch.from_arrays([keys.slice(k, 64), _lists([shingles(t, shingle) for t in texts.slice(k, 64).to_pylist()])], names=["key", "hashes"])
+
+    return docs.mapInArrow(run, "key long, hashes array<long>")
+
+
+def _common(docs: DataFrame, shingle: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles of a sample of the distinct texts, sorted, and their counts."""
+    mark = F.xxhash64("text")
+    some = docs.where(F.pmod(mark, F.lit(sample)) == 0).groupBy(mark.alias("mark")).agg(F.first("text").alias("text"))
+    counts = _sets(some.select(F.lit(0).cast("long").alias("key"), "text"), shingle).select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "hash").limit(TABLE).toPandas().sort_values("hash")
+    return rows["hash"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+
+
+def _firsts(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first n // 5 + 1 shingles of a sorted set, rare ones first, then by hash."""
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        n = np.where(common[at] == own, counts[at], 0)
+        own = own[np.argsort(n, kind="stable")]
+    return own[: len(own) - -(-len(own) * LIKE[0] // LIKE[1]) + 1]
+
+
+def _sketch(own: np.ndarray) -> np.ndarray:
+    odd = np.bincount(own & (BITS - 1), minlength=BITS).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def _marked(docs: DataFrame, shingle: int, common: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """(digest, none, id, text) to (digest, none, id, content, size, sketch, firsts)."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                sets = [shingles(t, shingle) for t in part.column(3).to_pylist()]
+                content = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+                size = pa.array([len(s) for s in sets], pa.int64())
+                sketches, firsts = _lists([_sketch(s) for s in sets]), _lists([_firsts(s, common, counts) for s in sets])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], content, size, sketches, firsts], names=["digest", "none", "id", "content", "size", "sketch", "firsts"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"digest binary, none boolean, id {kind}, content binary, size long, sketch array<long>, firsts array<long>")
+
+
+def _decided(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) of `pairs` that are near copies; only sets that are in a pair are made again from their texts."""
+    up, down = LIKE
+    part = distinct.select("set", "size", "sketch")
+    both = pairs.join(part.select(F.col("set").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("x")), "a").join(part.select(F.col("set").alias("b"), F.col("size").alias("n"), F.col("sketch").alias("y")), "b")
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+    fit = (F.least("m", "n") * down >= F.greatest("m", "n") * up) & (apart * (up + down) <= (F.col("m") + F.col("n")) * (down - up))
+    pairs = cut(both.where(fit).select("a", "b"), "near-pairs")
+    nodes = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
+    wanted = nodes.join(distinct.select("set", F.col("least.digest").alias("digest")), "set")
+    texts = docs.join(wanted, "digest").select(F.col("set").alias("key"), "text")
+    whole = cut(_sets(texts, shingle).groupBy("key").agg(F.first("hashes").alias("hashes")), "near-sets")
+    both = pairs.join(whole.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(whole.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return cut(both.where(shared * (up + down) >= (F.size("x") + F.size("y")) * up).select("a", "b"), "near-links")
+
+
+def _grouped(distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """(set, root) of all sets."""
+    found = components(links, "a", "b").select(F.col("node").alias("set"), "root")
+    return distinct.select("set").join(found, "set", "left").select("set", F.coalesce("root", "set").alias("root"))
+
+
+def near_pairs(docs: DataFrame, distinct: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(a, b): links that connect exactly the sets whose chains of near copies connect."""
+    up, down = LIKE
+    entries = distinct.select("set", "size", F.explode("firsts").alias("hash"))
+    edges = entries.groupBy("hash").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo <> hi")
+    met = cut(entries.join(edges, "hash"), "near-entries")
+    ends = met.select("set", F.explode(F.array("lo", "hi")).alias("end")).where("set <> end")
+    first = _decided(ends.select(F.least("set", "end").alias("a"), F.greatest("set", "end").alias("b")).distinct(), distinct, docs, shingle)
+    roots = cut(_grouped(distinct, first), "near-roots")
+    left = met.select("hash", "set", "size").join(roots, "set")
+    mixed = left.groupBy("hash").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("hash")
+    left = cut(left.join(mixed, "hash"), "near-left")
+    x, y = left.alias("x"), left.alias("y")
+    alike = F.least("x.size", "y.size") * down >= F.greatest("x.size", "y.size") * up
+    more = x.join(y, (F.col("x.hash") == F.col("y.hash")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.root") != F.col("y.root")) & alike)
+    return first.union(_decided(more.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct(), distinct, docs, shingle))
+
+
+def keep_one(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, sample: int = SAMPLE) -> DataFrame:
+    """The rows of `docs` with one row of each group of near copies: the one with the smallest id, null ids last."""
+    ident = F.md5(F.concat(F.coalesce(F.col(row_id).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
+    rows = docs.select(F.unhex(ident).alias("digest"), F.col(row_id).isNull().alias("none"), F.col(row_id).alias("id"), F.col(text).alias("text"))
+    marked = _marked(rows, shingle, *_common(rows, shingle, sample))
+    once = marked.groupBy("content").agg(F.min(F.struct("none", "id", "digest")).alias("least"), *[F.first(c).alias(c) for c in ("size", "sketch", "firsts")])
+    distinct = cut(once.drop("content").withColumn("set", F.monotonically_increasing_id()), "near-distinct")
+    roots = _grouped(distinct, near_pairs(rows, distinct, shingle))
+    kept = distinct.select("set", "least").join(roots, "set").groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.digest").alias("_row_digest"))
+    again = Window.partitionBy("_row_digest").orderBy("_row_digest")
+    tagged = docs.withColumn("_row_digest", F.unhex(ident))
+    return tagged.join(kept, "_row_digest", "left_semi").withColumn("_n", F.row_number().over(again)).where("_n = 1").drop("_n", "_row_digest")

@@ -1,0 +1,63 @@
+import random
+import re
+
+import pytest
+
+import corpus_pipeline as C
+from millrace.llm import nearcopies as N
+
+
+def plain_kept(rows, shingle=5):
+    """Places of the rows that stay: the first of each chain of texts whose shingle sets share 4/5 of their union."""
+    sets = []
+    for text in rows:
+        own = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+        sets.append({tuple(own[i : i + shingle]) for i in range(max(1, len(own) - shingle + 1))})
+    root = list(range(len(rows)))
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            if root[i] != root[j] and 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    return [i for i, r in enumerate(root) if i == r]
+
+
+def near_texts():
+    """Chains of texts that differ by a few words each, around the likeness that decides, and texts that share a passage only."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    passage, out = [word() for _ in range(30)], [None, "", " \n", "one", "One", "two words"]
+    for n in (4, 5, 6, 9, 14, 40, 60, 120, 400):
+        for _ in range(3):
+            text = [word() for _ in range(n)]
+            for _ in range(6):
+                out.append(" ".join(text))
+                for k in rng.sample(range(n), rng.randint(0, 1 + n // 60)):
+                    text[k] = word()
+                text = text[: n - rng.choice([0, 0, 1])] + [word() for _ in range(rng.choice([0, 0, 1]))]
+                n = len(text)
+    out += [" ".join([*passage, *(word() for _ in range(rng.randint(0, 25)))]) for _ in range(40)]
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("sample", [1, 16])
+def test_stage_equals_the_plain_version_on_near_copies(spark, sample):
+    texts = near_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = plain_kept(texts)
+    assert 20 < len(want) < len(texts) - 20
+    assert sorted(r.doc_id for r in N.keep_one(df, sample=sample).collect()) == want
+
+
+def test_stage_finds_the_near_copies_of_the_table(spark, small):
+    docs, rows = small
+    want = [rows[i]["doc_id"] for i in plain_kept([r["text"] for r in rows])]
+    assert sorted(r.doc_id for r in C.drop_near_copies(spark, docs, "").collect()) == want
+
+
+def test_odd_rows(spark, odd):
+    kept = C.drop_near_copies(spark, odd, "")
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "5", "6", "8", "None"])
+    assert kept.columns == odd.columns
+    assert N.keep_one(odd.limit(0)).count() == 0
