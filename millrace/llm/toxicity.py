@@ -5,8 +5,8 @@ mean gives the class. Vectors and softmax are trained jointly in numpy by AdaGra
 shares most n-grams with its known forms. As the head is linear, a bucket's whole effect is one number, so that
 scoring is a lookup and a mean over whole texts.
 
-The model is fitted on the driver on at most `PER_CLASS` rows of each class (the rows with the smallest hashes, less those
-with texts over `FIT_BYTES` bytes), with equal weight for both classes. Scoring reads every text in full.
+The model is fitted on the driver on at most `PER_CLASS` rows of each class (the rows with the smallest hashes, of those
+whose document is there with a text of at most `FIT_BYTES` bytes), with equal weight for both classes. Scoring reads every text in full.
 
 Defined cases: null and empty texts, and texts without letters or digits, have no n-grams and score as the intercept;
 without training rows of both classes every score is the share of label 1 among them (0 if there are none); null
@@ -109,15 +109,17 @@ def train(texts, labels: np.ndarray, share: float, seed: int = 7) -> SubwordMode
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, per_class: int = PER_CLASS) -> SubwordModel:
     """Fits on documents of a bounded sample of `labels` (doc_id and `label`), whatever the number of either.
 
-    The sample is drawn from the labels alone and is small by its bound, so that it is broadcast and no text moves.
+    Labels are first joined with the ids of the documents that can be taken, so that a class is only missing from the
+    sample if it has none. The sample is small by its bound, so that it is broadcast and no text moves.
     """
     rows = labels.select("doc_id", F.col(label).cast("int").alias("_y")).where("_y in (0, 1)")
     shares = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(shares.values())
     share = shares.get(1, 0) / total if total else 0.0
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).where(F.octet_length("_text") <= FIT_BYTES)
+    rows = rows.join(texts.select("doc_id"), "doc_id", "left_semi")
     order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
     sample = [rows.where(F.col("_y") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).where(F.octet_length("_text") <= FIT_BYTES)
     got = texts.join(F.broadcast(sample[0].unionByName(sample[1])), "doc_id").toPandas().sort_values(["doc_id", "_text"], kind="stable")
     return train(got["_text"].tolist(), got["_y"].to_numpy(), share)
 
