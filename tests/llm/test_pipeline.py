@@ -6,6 +6,7 @@ import pytest
 import corpus_pipeline as C
 from millrace.llm import decontamination, mixing, sharding, toxicity
 from tests.llm import plain
+from tests.llm.test_widehash import plain_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,8 +54,7 @@ def test_stages_equal_plain_versions(spark, tmp_path, small):
         if name == "toxicity":
             kept = [r for r, s in zip(kept, scores, strict=True) if s < 0.5]
         elif name == "near_duplicates":
-            root = plain.groups([plain.simhash(r["text"]) for r in kept])
-            kept = [r for i, r in enumerate(kept) if root[i] == i]
+            kept = [kept[i] for i in plain_kept([r["text"] for r in kept])]
         elif name == "decontamination":
             found = plain.contained([r["text"] for r in kept], items, decontamination.WINDOW)
             kept = [r for r, f in zip(kept, found, strict=True) if not f[2]]
