@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, mixing, nearcopies, sharding, toxicity
-from millrace.llm.common import table
+from millrace.llm import decontamination, mixing, sharding, toxicity, widehash
+from millrace.llm.common import fresh, table
 from millrace.stages import cut
 
 
@@ -18,12 +18,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half; the model learns from labels outside the held-out fold."""
     labels = table(spark, sf_dir, "labels").where(toxicity.fold(5) != 0)
     model = toxicity.fit(docs, labels)
-    return toxicity.score(docs, model, out="_score").where("_score < 0.5").drop("_score")
+    out = fresh(docs, "score")
+    return toxicity.score(docs, model, out=out).where(F.col(out) < 0.5).drop(out)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, likeness 0.8 or more), the one with the smallest id."""
-    return nearcopies.keep_one(docs)
+    """One document of each group of near copies by SimHash (five-word shingles, likeness 0.8 or more), the one with the smallest id."""
+    return widehash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it."""
     mixed = mixing.mix(docs, carry=tuple(docs.columns)).where("copies > 0")
-    return _carried(mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs.columns)
+    return _carried(mixed.withColumn(fresh(mixed, "copy"), F.explode(F.sequence(F.lit(1), F.col("copies")))), docs.columns)
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
