@@ -7,11 +7,11 @@ are blocks always share one; at 0.8 two sets share 2.4 blocks on average (9 of 1
 they share 9. Fingerprints are joined on (block, value) and verified by Hamming distance; sets of up to `SMALL` shingles, for
 which the angle is a poor measure, are compared themselves. Equal sets collapse to one row before any join.
 
-Pairs are proposed in two rounds. First each fingerprint is held against the least one of each of its buckets, which is
-linear in the members and joins large groups; the aggregate behind it combines on the map side, and no bucket can have
-more than one in BLOCKS of all rows. Then only buckets that still hold several groups are compared, inside
-tasks, on 512 bits that are far apart for all but close pairs; pairs that stay are verified on all bits. A bucket
-of over `TILE` fingerprints is compared in tiles, so that none is gathered.
+Pairs are proposed in two rounds. First each fingerprint is held against one other: of the least ones of its buckets that
+with which it shares most of them. That is a pair for each row and joins large groups; the aggregate behind it combines on
+the map side, and no bucket can have more than one in BLOCKS of all rows. Then only buckets that still hold several
+groups are compared, inside tasks: no pair leaves a task before it is verified. A bucket of over `TILE` fingerprints is
+compared in tiles, so that none is gathered.
 
 Defined cases: null and empty texts and texts of white space are copies of each other; a text of fewer words than a
 shingle is one shingle; null ids come last; a row repeated in full stays once; an empty table gives an empty result;
@@ -184,24 +184,28 @@ def _entries(distinct: DataFrame) -> DataFrame:
     return distinct.select("set", "fp").mapInArrow(run, "bucket long, set long")
 
 
+def _alike(m: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, p: list[bytes], q: list[bytes], like: float) -> np.ndarray:
+    """Which pairs of sets (sizes, fingerprints, members of small ones) are alike: by Hamming distance, small ones by members."""
+    alike = (np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= bound(WORDS * 64, like, 1.0)) & (np.minimum(m, n) >= np.maximum(m, n) * like)
+    for k in np.flatnonzero(np.maximum(m, n) <= SMALL).tolist():
+        shared = len(np.intersect1d(np.frombuffer(p[k], np.uint64), np.frombuffer(q[k], np.uint64), assume_unique=True))
+        alike[k] = shared >= like * (m[k] + n[k] - shared)
+    return alike
+
+
 def _verified(pairs: DataFrame, distinct: DataFrame, like: float) -> DataFrame:
-    """The pairs (a, b) that are alike, by Hamming distance; small sets by their members."""
-    most = bound(WORDS * 64, like, 1.0)
+    """The pairs (a, b) that are alike."""
     part = distinct.select("set", "size", "fp", "few")
     left = part.select(F.col("set").alias("a"), F.col("size").alias("m"), F.col("fp").alias("x"), F.col("few").alias("p"))
     right = part.select(F.col("set").alias("b"), F.col("size").alias("n"), F.col("fp").alias("y"), F.col("few").alias("q"))
-    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(F.least("m", "n") >= F.greatest("m", "n") * like)
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b, m, n = (batch.column(c).to_numpy() for c in ("a", "b", "m", "n"))
-            alike = np.bitwise_count(_binary(batch, "x") ^ _binary(batch, "y")).sum(1, dtype=np.int64) <= most
-            for k in np.flatnonzero(np.maximum(m, n) <= SMALL):
-                shared = len(np.intersect1d(*(np.frombuffer(batch.column(c)[int(k)].as_py(), np.uint64) for c in ("p", "q")), assume_unique=True))
-                alike[k] = shared >= like * (m[k] + n[k] - shared)
-            yield pa.RecordBatch.from_arrays([pa.array(a[alike]), pa.array(b[alike])], names=["a", "b"])
+            if batch.num_rows:
+                a, b, m, n = (batch.column(c).to_numpy() for c in ("a", "b", "m", "n"))
+                alike = _alike(m, n, _binary(batch, "x"), _binary(batch, "y"), batch.column("p").to_pylist(), batch.column("q").to_pylist(), like)
+                yield pa.RecordBatch.from_arrays([pa.array(a[alike]), pa.array(b[alike])], names=["a", "b"])
 
     return cut(both.select("a", "b", "m", "n", "x", "y", "p", "q").mapInArrow(run, "a long, b long"), "wide-links")
 
@@ -213,24 +217,26 @@ def _grouped(distinct: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _compare(left: DataFrame, like: float) -> DataFrame:
-    """(bucket, i, j, tile, root, set, size, rough), a bucket's tile after the other, to the pairs (a, b) that may be alike."""
+    """(bucket, i, j, tile, root, set, size, fp, few), a bucket's tile after the other, to links (a, b) between its groups.
+
+    Members outside the largest group are held against all others, first on `ROUGH` words; one link of a member to each
+    group it is like is enough.
+    """
     most = bound(ROUGH * 64, like, 3.5)
 
     def close(held):
-        tile, root, own, size = (np.concatenate([h[k] for h in held]) for k in range(4))
-        rough = np.concatenate([h[4] for h in held])
-        whole = len(np.unique(tile)) == 1
-        ones = np.arange(len(own)) if whole else np.flatnonzero(tile == tile.min())
-        rest = ones if whole else np.flatnonzero(tile != tile.min())
-        a, b = [], []
-        for x in ones:
-            y = rest[rest > x] if whole else rest
-            y = y[(root[y] != root[x]) & (np.minimum(size[y], size[x]) >= np.maximum(size[y], size[x]) * like)]
-            y = y[np.bitwise_count(rough[y] ^ rough[x]).sum(1, dtype=np.int64) <= most]
-            a.append(np.full(len(y), own[x]))
-            b.append(own[y])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        tile, root, own, size, fp = (np.concatenate([h[k] for h in held]) for k in range(5))
+        few = [f for h in held for f in h[5].to_pylist()]
+        groups, inverse, count = np.unique(root, return_inverse=True, return_counts=True)
+        one_tile, rough, found = len(np.unique(tile)) == 1, fp[:, :ROUGH], []
+        for x in np.flatnonzero(inverse != count.argmax()) if len(groups) > 1 else ():
+            y = np.flatnonzero((root != root[x]) & (one_tile | (tile != tile[x])) & (np.minimum(size, size[x]) >= np.maximum(size, size[x]) * like))
+            y = y[(np.bitwise_count(rough[y] ^ rough[x]).sum(1, dtype=np.int64) <= most) | (np.maximum(size[y], size[x]) <= SMALL)]
+            if len(y):
+                y = y[_alike(size[y], np.full(len(y), size[x]), fp[y], fp[x : x + 1], [few[k] for k in y], [few[x]] * len(y), like)]
+                y = y[np.unique(root[y], return_index=True)[1]]
+                found += [(min(own[x], o), max(own[x], o)) for o in own[y]]
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def run(batches):
         held, last = [], None
@@ -238,8 +244,8 @@ def _compare(left: DataFrame, like: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "i", "j")], 1)
-            cuts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(keys)]
-            columns = [batch.column(c).to_numpy() for c in ("tile", "root", "set", "size")] + [_binary(batch, "rough")]
+            cuts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(keys)].tolist()
+            columns = [batch.column(c).to_numpy() for c in ("tile", "root", "set", "size")] + [_binary(batch, "fp"), batch.column("few")]
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if held and tuple(keys[s]) != last:
                     yield close(held)
@@ -249,7 +255,7 @@ def _compare(left: DataFrame, like: float) -> DataFrame:
         if held:
             yield close(held)
 
-    return left.select("bucket", "i", "j", "tile", "root", "set", "size", "rough").mapInArrow(run, "a long, b long")
+    return left.select("bucket", "i", "j", "tile", "root", "set", "size", "fp", "few").mapInArrow(run, "a long, b long")
 
 
 def similar_links(distinct: DataFrame, like: float = LIKE, *, tile: int = TILE) -> DataFrame:
@@ -257,16 +263,17 @@ def similar_links(distinct: DataFrame, like: float = LIKE, *, tile: int = TILE)
     entries = _entries(distinct)
     least = entries.groupBy("bucket").agg(F.min("set").alias("least"), F.max("set").alias("most")).where("least <> most").drop("most")
     met = cut(entries.join(least.hint("merge"), "bucket"), "wide-buckets")
-    first = _verified(met.where("set <> least").select(F.col("least").alias("a"), F.col("set").alias("b")).distinct(), distinct, like)
+    shared = met.where("set <> least").groupBy("set", "least").agg(F.count(F.lit(1)).alias("n"))
+    chosen = shared.groupBy("set").agg(F.max(F.struct("n", (-F.col("least")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), F.col("set").alias("b"))
+    first = _verified(chosen, distinct, like)
     roots = cut(_grouped(distinct, first), "wide-roots")
-    known = roots.join(distinct.select("set", "size", F.expr(f"substring(fp, 1, {ROUGH * 8})").alias("rough")).hint("merge"), "set")
-    left = met.select("bucket", "set").join(known.hint("merge"), "set")
+    left = met.select("bucket", "set").join(roots.hint("merge"), "set")
     mixed = left.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("_n")).where("lo <> hi")
     left = left.join(mixed.select("bucket", F.ceil(F.col("_n") / tile).cast("int").alias("_t")).hint("merge"), "bucket")
     left = left.withColumn("tile", F.pmod(F.xxhash64("set"), F.col("_t")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_t") - 1)))
-    left = left.select("bucket", F.least("tile", "_o").alias("i"), F.greatest("tile", "_o").alias("j"), "tile", "root", "set", "size", "rough")
-    dealt = left.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return first.union(_verified(_compare(dealt, like).distinct(), distinct, like))
+    left = left.select("bucket", F.least("tile", "_o").alias("i"), F.greatest("tile", "_o").alias("j"), "tile", "root", "set")
+    dealt = left.join(distinct.select("set", "size", "fp", "few").hint("merge"), "set").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return first.union(_compare(dealt, like).distinct())
 
 
 def keep_one(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, like: float = LIKE) -> DataFrame:
