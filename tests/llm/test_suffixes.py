@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -74,14 +75,44 @@ def test_small_strings_equal_brute_force(spark, length):
     assert run(spark, texts, length) == plain([t.encode() for t in texts], length)
 
 
-@pytest.mark.parametrize("length", [5, 40])
+@pytest.mark.parametrize("length", [5, 40, 150])
 def test_keys_with_many_texts(spark, monkeypatch, length):
-    monkeypatch.setattr(D, "KEY_TEXTS", 1)
+    """With tiny shards all texts of a key are too many: they are keyed again, and then their windows are counted."""
+    monkeypatch.setattr(D, "SHARD_BYTES", 300)
+    deeper = []
+    monkeypatch.setattr(D, "_deal_windows", lambda *a, f=D._deal_windows: deeper.append(1) or f(*a))
     rng = np.random.default_rng(length)
-    passage = "".join(rng.choice(list("abcd"), 120))
+    passage = "".join(rng.choice(list("abcd"), 220))
     texts = ["".join(rng.choice(list("abcdé"), 60)) + passage + "".join(rng.choice(list("abcdé"), 60)) for _ in range(12)]
-    texts += [texts[0], passage, "x" * 90, passage[:60] + passage[:60]]
+    texts += [texts[0], passage, "x" * 190, passage[:60] + passage[:60]]
     assert run(spark, texts, length) == plain([t.encode() for t in texts], length)
+    assert deeper
+
+
+def test_a_planned_shard_spills_and_recurses_within_its_memory(tmp_path, monkeypatch):
+    """With the limits of the query: queues spill, names recurse, and memory is far below that of a shard's
+    suffixes (12 bytes each and more): it grows with the different names only, and three times the shard takes less than twice of it."""
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(3000)]
+    peaks = []
+    for shards in (1, 3):
+        spills, levels = [], []
+        monkeypatch.setattr(S.Queue, "spill", lambda q, f=S.Queue.spill: spills.append(1) or f(q))
+        monkeypatch.setattr(S, "_star_order", lambda *a, f=S._star_order: levels.append(len(a[0])) or f(*a))
+        texts, size = [], 0
+        while size < D.SHARD_BYTES * shards:
+            texts.append(" ".join(rng.choice(words, 60)).encode())
+            size += len(texts[-1])
+        texts[5] = texts[70][:250] + texts[5]
+        tracemalloc.start()
+        got = list(D.shard_repeats(((1, t) for t in texts), str(tmp_path)))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        monkeypatch.undo()
+        assert len(spills) > 5 and len(levels) > 1 and levels[1] > S.BASE
+        want = sorted((k, a, b) for k, a, b in got)
+        assert (5, 0, len(texts[70][:250]) - 199) in want and any(k == 70 for k, _, _ in want)
+    assert peaks[1] < 2 * peaks[0] and peaks[1] < 60e6
 
 
 def test_long_texts_are_taken_in_pieces(spark, monkeypatch):
@@ -90,7 +121,7 @@ def test_long_texts_are_taken_in_pieces(spark, monkeypatch):
     whole = D.spans([text.encode()], 200)
     monkeypatch.setattr(D, "BLOCK_BYTES", 512)
     covered = Counter()
-    for block in D._pieces([text, text[:100]], 200):
+    for block in D._pieces([text.encode(), text[:100].encode()], 200):
         at, start, n, _, _ = D.spans([p[2] for p in block], 200)
         for k, a, m in zip(at, start, n, strict=True):
             covered.update(range(a + block[k][1], a + block[k][1] + abs(m)))
@@ -98,8 +129,10 @@ def test_long_texts_are_taken_in_pieces(spark, monkeypatch):
 
 
 def test_shards_find_repeats_within_and_across(tmp_path):
-    got = D.shard_repeats([b"abcdeabcde", b"xabcdex", b"zzz", b"qqqqqqq", b"ok"], [1, 1, 1, 2, 1], str(tmp_path), 5)
-    assert got == [[(0, 1), (5, 6)], [(1, 2)], [], [(0, 3)], []]
+    texts = [(1, b"abcdeabcde"), (1, b"xabcdex"), (1, b"zzz"), (2, b"qqqqqqq"), (1, b"ok"), (1, b"yqqqqqqy")]
+    got = list(D.shard_repeats(texts, str(tmp_path), 5))
+    assert got == [(0, 0, 1), (0, 5, 6), (1, 1, 2), (5, 1, 3)]
+    assert list(D.shard_repeats([], str(tmp_path), 5)) == []
 
 
 def test_odd_rows(spark, odd):
