@@ -2,14 +2,13 @@ from millrace.llm import toxicity
 
 
 def test_rows_that_cannot_be_taken_are_replaced(spark):
-    """A class whose first labels have long texts or no document is filled up from its other labels."""
-    long = "river stone " * 6000
-    assert len(long) > toxicity.FIT_BYTES
-    ids = [r.i for r in spark.range(60).selectExpr("cast(id as long) i").orderBy("i").collect()]
+    """A class whose first labels have no document is filled up from its other labels; long texts are taken whole."""
+    ids = list(range(60))
     order = [r.i for r in spark.createDataFrame([(i,) for i in ids], "i long").selectExpr("i", "xxhash64(cast(i as string)) h").orderBy("h").collect()]
     toxic, clean = order[:40], order[40:]
-    rows = [(i, long) for i in toxic[:10]] + [(i, f"stupidest idiot {i}") for i in toxic[20:]] + [(i, f"river stone {i}") for i in clean]  # toxic[10:20] have no document
+    long = "river stone " * 6000
+    rows = [(i, f"{long} stupidest idiot {i}" if k < 5 else f"stupidest idiot {i}") for k, i in enumerate(toxic[20:])] + [(i, f"river stone {i}") for i in clean]  # toxic[:20] have no document
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i in set(toxic))) for i in ids], "doc_id long, toxic int")
-    bad, good = toxicity.fit(docs, labels, per_class=10).scores(["stupidest idiot", "river stone"])
-    assert bad > 0.5 > good
+    bad, good, late = toxicity.fit(docs, labels, per_class=10).scores(["stupidest idiot", "river stone", "river stone " * 9000 + "idiot " * 9000])
+    assert bad > 0.5 > good and late > 0.5
