@@ -47,6 +47,19 @@ def global_index(table: DataFrame) -> DataFrame:
     return table.join(F.broadcast(starts), "_pid").withColumn("_idx", F.col("_start") + F.col("_pos")).drop("_start")
 
 
+def split_join(left: DataFrame, right: DataFrame, on: list[str], n: str = "_n", share: int = 1024) -> DataFrame:
+    """Inner join with a stage table of one row per key, whose `n` is the number of rows of the key in `left`.
+
+    Keys with more than one in `share` of all rows are fewer than `share`: that side is broadcast, so that their rows stay
+    where they are, and only the rest is exchanged by key. `n` is dropped.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    heavy = F.col(n) * share > total
+    most = left.join(F.broadcast(right.where(heavy).drop(n)), on)
+    rest = left.join(F.broadcast(right.where(heavy).select(*on)), on, "left_anti").join(right.where(~heavy).drop(n).hint("merge"), on)
+    return most.unionByName(rest)
+
+
 def word_count(text: Column) -> Column:
     """Number of `[^\\x20\\x09-\\x0D]+`; null counts as no words."""
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")

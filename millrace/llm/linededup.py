@@ -7,11 +7,12 @@ array whose common prefixes are at least that long; suffixes that fall out of ev
 or a line that is nowhere else lies within the depth) are dropped at once, as they repeat nothing. In each interval
 the occurrence with the smallest (id, line) is the first copy; all others are later copies and their lines are
 deleted. Neighbouring deleted windows join to maximal runs, as every window of a longer repeated run repeats itself.
-Ranks beyond that depth would only order suffixes within an interval and change no deletion.
+Ranks beyond that depth would only order suffixes within an interval and change no deletion. A single line of at least
+`min_words` words is a passage of its own: the intervals of depth 1 give its later copies, which are deleted too.
 
 All of it is DataFrame operations. Ranks are dealt to distinct lines and pairs after an aggregate that combines on the
-map side, so that a line or passage in a third of all documents is one row there; hot rows only meet in plain
-equi-joins, which Spark splits. No document's lines are gathered except to write that document's text.
+map side, so that a line or passage in a third of all documents is one row there; joins on lines and ranks leave the rows
+of hot keys where they are (`split_join`). No document's lines are gathered except to write that document's text.
 
 Defined cases: a null text has no lines; an empty text is one empty line; windows of nothing but white space never
 count as repeated; rows with equal id and equal text are one document, each copy with the same result; null ids come
@@ -23,58 +24,68 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import global_index, ranged, table
+from millrace.llm.common import global_index, ranged, split_join, table, word_count
 from millrace.stages import cut
 
 MIN_RUN = 2
+#: Words of a single line that count as a passage.
+MIN_WORDS = 50
 
 
 def _rank(keys: DataFrame, columns: list[str]) -> DataFrame:
-    """Distinct repeated keys with `rank`, their place in order."""
-    found = keys.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    return global_index(ranged(found, [F.col(c) for c in columns], "line-ranks")).select(*columns, F.col("_idx").alias("rank"))
+    """Distinct repeated keys with `rank`, their place in order, and `_n`, the rows that have them."""
+    found = keys.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return cut(global_index(ranged(found, [F.col(c) for c in columns], "line-ranks")).select(*columns, F.col("_idx").alias("rank"), "_n"), "line-ranked")
 
 
-def repeated_suffixes(lines: DataFrame, depth: int) -> DataFrame:
-    """(doc, pos, line) to (doc, pos, rank) of the suffixes whose first `depth` lines stand elsewhere too."""
-    ranks = lines.join(_rank(lines, ["line"]), "line").select("doc", "pos", "rank")
+def repeated_suffixes(lines: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(doc, pos, line) to (doc, pos, rank) of the suffixes whose first line, and whose first `depth` lines, stand elsewhere too."""
+    single = ranks = cut(split_join(lines, _rank(lines, ["line"]), ["line"]).select("doc", "pos", "rank"), "line-suffixes")
     have = 1
     while have < depth:
         step = min(have, depth - have)  # the last step overlaps where the depth is no power of two
-        ranks = cut(ranks, "line-suffixes")
         on = ranks.select("doc", (F.col("pos") - step).alias("pos"), F.col("rank").alias("b"))
-        pairs = cut(ranks.withColumnRenamed("rank", "a").join(on, ["doc", "pos"]), "line-pairs")
-        ranks = pairs.join(_rank(pairs, ["a", "b"]), ["a", "b"]).select("doc", "pos", "rank")
+        pairs = cut(ranks.withColumnRenamed("rank", "a").join(on.hint("merge"), ["doc", "pos"]), "line-pairs")
+        ranks = cut(split_join(pairs, _rank(pairs, ["a", "b"]), ["a", "b"]).select("doc", "pos", "rank"), "line-suffixes")
         have += step
-    return ranks
+    return single, ranks
 
 
-def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, *, row_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def _later(suffixes: DataFrame) -> DataFrame:
+    """(doc, doc_id, pos, rank) to (doc, pos) of all but the first suffix of each rank."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("doc"), F.col("pos"))
+    first = cut(suffixes.groupBy("rank").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("_n")), "line-first")
+    known = split_join(suffixes, first, ["rank"])
+    return known.where((F.col("doc") != F.col("first.doc")) | (F.col("pos") != F.col("first.pos"))).select("doc", "pos")
+
+
+def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, *, min_words: int = MIN_WORDS, row_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, text (kept lines, null stays null), n_lines, removed (sorted line numbers from 0),
     n_runs (maximal removed runs) and `carried_<name>`."""
-    if min_run < 1:
-        raise ValueError("min_run must be positive")
+    if min_run < 1 or min_words < 1:
+        raise ValueError("min_run and min_words must be positive")
     digest = F.md5(F.concat(F.coalesce(F.col(row_id).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
     rows = docs.select(F.col(row_id).alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry], F.unhex(digest).alias("doc"))
     split = F.split("text", "\n", -1)
     exploded = rows.where("text is not null").select("doc", "doc_id", F.posexplode(split).alias("pos", "_line"))
-    lines = cut(exploded.select("doc", "doc_id", "pos", F.unhex(F.md5(F.col("_line").cast("binary"))).alias("line"), (F.trim("_line") == "").alias("blank")), "lines")
+    long = F.when(F.octet_length("_line") >= 2 * min_words - 1, word_count(F.col("_line")) >= min_words).otherwise(False)
+    lines = cut(exploded.select("doc", "doc_id", "pos", F.unhex(F.md5(F.col("_line").cast("binary"))).alias("line"), (F.trim("_line") == "").alias("blank"), long.alias("long")), "lines")
     # a row repeated in full gives each line twice: one of them stands for both
-    lines = lines.groupBy("doc", "doc_id", "pos").agg(F.first("line").alias("line"), F.first("blank").alias("blank"))
-    lines = cut(lines, "lines-once")
-    suffixes = cut(repeated_suffixes(lines.select("doc", "pos", "line"), min_run), "line-intervals")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("doc"), F.col("pos"))
-    known = suffixes.join(lines.select("doc", "pos", "doc_id"), ["doc", "pos"])
-    first = known.groupBy("rank").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    later = known.join(first, "rank").where((F.col("doc") != F.col("first.doc")) | (F.col("pos") != F.col("first.pos")))
+    lines = cut(lines.groupBy("doc", "doc_id", "pos").agg(*[F.first(c).alias(c) for c in ("line", "blank", "long")]), "lines-once")
+    single, suffixes = repeated_suffixes(lines.select("doc", "pos", "line"), min_run)
+    passages = _later(cut(single.join(lines.where("long").select("doc", "pos", "doc_id").hint("merge"), ["doc", "pos"]), "line-passages"))
+    later = _later(cut(suffixes.join(lines.select("doc", "pos", "doc_id").hint("merge"), ["doc", "pos"]), "line-intervals"))
     covered = later.select("doc", F.col("pos").alias("start"), F.explode(F.sequence(F.col("pos"), F.col("pos") + (min_run - 1))).alias("pos"))
-    covered = covered.join(lines.select("doc", "pos", "blank"), ["doc", "pos"])
+    covered = covered.join(lines.select("doc", "pos", "blank").hint("merge"), ["doc", "pos"])
     alive = covered.groupBy("doc", "start").agg(F.collect_list("pos").alias("all"), F.bool_and("blank").alias("blank")).where("not blank")
-    removed = alive.select("doc", F.explode("all").alias("pos")).groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
-    out = rows.join(removed, "doc", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    gone = alive.select("doc", F.explode("all").alias("pos")).union(passages)
+    removed = gone.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
+    out = rows.join(removed.hint("merge"), "doc", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(split))
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("removed"))
-    kept = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(split, i + 1)), "\n"))
+    # the split text is bound to a name, as it would be split again for each kept line
+    joined = F.transform(F.array(split), lambda own: F.array_join(F.transform(left, lambda i: F.element_at(own, i + 1)), "\n"))
+    kept = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.element_at(joined, 1))
     runs = F.size(F.array_except("removed", F.transform("removed", lambda i: i + 1)))
     return out.select("doc_id", kept.alias("text"), n_lines.cast("long").alias("n_lines"), "removed", runs.cast("long").alias("n_runs"), *[f"carried_{c}" for c in carry])
 
@@ -86,11 +97,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op9_line_dedup": op9_line_dedup}
 SQL = {
-    "op9_line_dedup": f"""
+    "op9_line_dedup": rf"""
 WITH d AS (SELECT doc_id, text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS l FROM documents),
 w AS (SELECT doc_id, i, array_to_string(l[i:i + {MIN_RUN - 1}], chr(10)) AS win FROM (SELECT *, unnest(generate_series(1, len(l) - {MIN_RUN - 1})) AS i FROM d WHERE len(l) >= {MIN_RUN})),
 later AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id NULLS LAST, i) AS n FROM w) WHERE n > 1 AND trim(win, ' ' || chr(10)) <> ''),
-gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + {MIN_RUN - 1})) AS i FROM later),
+passages AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY doc_id NULLS LAST, i) AS n FROM (SELECT doc_id, unnest(l) AS x, unnest(generate_series(1, len(l))) AS i FROM d)) WHERE n > 1 AND len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= {MIN_WORDS}),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + {MIN_RUN - 1})) AS i FROM later UNION SELECT doc_id, i FROM passages),
 runs AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (was IS NULL OR was <> i - 1) AS n_runs FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS was FROM gone) GROUP BY doc_id),
 kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS text FROM (SELECT doc_id, unnest(l) AS x, unnest(generate_series(1, len(l))) AS i FROM d) AS e ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs, sha256(coalesce(kept.text, '')) AS kept_sha256

@@ -1,4 +1,6 @@
 import datetime
+import re
+import time
 
 import pytest
 
@@ -6,16 +8,20 @@ from millrace.llm import linededup as L
 from millrace.llm import urlfilter as U
 
 
-def plain(texts, k):
-    """Texts in order of id; windows of k lines that stand earlier are deleted."""
+def plain(texts, k, words=50):
+    """Texts in order of id; windows of k lines that stand earlier are deleted, and single lines of `words` words."""
     lines = [t.split("\n") if t is not None else [] for t in texts]
-    seen, gone = set(), [set() for _ in texts]
+    seen, gone, known = set(), [set() for _ in texts], set()
     for d, own in enumerate(lines):
         for i in range(len(own) - k + 1):
             w = tuple(own[i : i + k])
             if w in seen and any(x.strip(" ") for x in w):
                 gone[d].update(range(i, i + k))
             seen.add(w)
+        for i, x in enumerate(own):
+            if x in known and len(re.findall("[^\x20\x09-\x0d]+", x)) >= words:
+                gone[d].add(i)
+            known.add(x)
     return [(None if t is None else "\n".join(x for i, x in enumerate(own) if i not in g), sorted(g)) for t, own, g in zip(texts, lines, gone, strict=True)]
 
 
@@ -27,10 +33,31 @@ def test_equals_the_plain_version(spark, k):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     got = sorted(L.dedup_lines(df, k).collect(), key=lambda r: r.doc_id)
     assert [(r.text, r.removed) for r in got] == plain(TEXTS, k)
+    got = sorted(L.dedup_lines(df, k, min_words=1).collect(), key=lambda r: r.doc_id)
+    assert [(r.text, r.removed) for r in got] == plain(TEXTS, k, 1)
     for r in got:
         assert r.n_runs == sum(x - 1 not in r.removed for x in r.removed)
 
 
+def test_passages_on_one_line_and_hot_lines(spark):
+    """A line of 50 words counts by itself, one of 49 doesn't; a line in most documents is no obstacle."""
+    words = " ".join(f"w{i}" for i in range(50))
+    texts = [f"{i}\n{words if i % 3 else words[:-4]}\nx{i}" for i in range(40)] + [words, words + " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(L.dedup_lines(df).collect(), key=lambda r: r.doc_id)
+    assert [(r.text, r.removed) for r in got] == plain(texts, 2)
+    assert [r.doc_id for r in got if r.removed] == [i for i in range(2, 40) if i % 3] + [40]
+
+
+def test_a_very_long_text_is_split_once(spark):
+    body = "\n".join(f"line {i}" for i in range(24_000))
+    df = spark.createDataFrame([(1, body), (2, "first\n" + body + "\nlast")], "doc_id long, text string")
+    start = time.time()
+    got = sorted(L.dedup_lines(df).collect(), key=lambda r: r.doc_id)
+    assert got[0].text == body and got[1].text == "first\nlast" and got[1].n_runs == 1
+    assert time.time() - start < 60
+
+
 def test_lines_of_odd_rows(spark, odd):
     got = L.dedup_lines(odd, 1, carry=("line", "removed")).collect()
     assert len(got) == odd.count()
