@@ -43,7 +43,8 @@ def first_wins(df: DataFrame, field: str, order: list[str]) -> DataFrame:
 def not_seen(df: DataFrame, field: str, seen: DataFrame, seen_field: str) -> DataFrame:
     """Rows whose key is not among the seen ones; null keys pass."""
     keys = seen.select(dedup_key(F.col(f"`{seen_field}`")).alias("_seen")).where("_seen is not null").distinct()
-    return df.join(keys, dedup_key(F.col(f"`{field}`")) == F.col("_seen"), "left_anti")
+    key = dedup_key(F.col(f"`{field}`"))
+    return df.where(key.isNotNull()).join(keys, key == F.col("_seen"), "left_anti").unionByName(df.where(key.isNull()))
 
 
 def mark_seen(df: DataFrame, field: str, clock: str, bucket_hours: int) -> DataFrame:
@@ -65,8 +66,10 @@ def not_live(df: DataFrame, field: str, marks: DataFrame, clock: str, window_hou
     """Rows whose key has no live mark at the row's own time; later buckets than the row's count as live."""
     n = live_buckets(window_hours, bucket_hours)
     latest = marks.groupBy("key").agg(F.max("bucket").alias("_b"))
-    joined = df.withColumn("_k", dedup_key(F.col(f"`{field}`"))).join(latest.withColumnRenamed("key", "_k"), "_k", "left")
-    return joined.where(F.col("_b").isNull() | (bucket(F.col(clock), bucket_hours) - F.col("_b") >= n)).select(*[F.col(f"`{c}`") for c in df.columns])
+    key = dedup_key(F.col(f"`{field}`"))
+    joined = df.where(key.isNotNull()).withColumn("_k", key).join(latest.withColumnRenamed("key", "_k"), "_k", "left")
+    free = joined.where(F.col("_b").isNull() | (bucket(F.col(clock), bucket_hours) - F.col("_b") >= n)).select(*[F.col(f"`{c}`") for c in df.columns])
+    return free.unionByName(df.where(key.isNull()))
 
 
 def windowed_first_wins(df: DataFrame, field: str, clock: str, order: list[str], window_hours: int = 3, bucket_hours: int = 1) -> DataFrame:

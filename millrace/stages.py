@@ -14,10 +14,13 @@ _LOCAL_MASK = (1 << 33) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` as the session has it; only where it is unset, a folder of our own."""
+    """`spark.checkpoint.dir` as the session has it. Only where it is unset and driver and executors are one process, a folder
+    of our own; on a cluster, executors would write to a local folder of theirs."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="millrace-")
         sc.setCheckpointDir(found)
     return found

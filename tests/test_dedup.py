@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from millrace.functions.buckets import live_buckets
+from millrace import stages
 from millrace.operators import dedup, microbatch
 
 
@@ -112,3 +113,35 @@ def test_microbatches(spark):
     assert [(r._seq, r._batch) for r in got.orderBy("n").collect()] == [(25 - n, (24 - n) // 10) for n in range(25)]
     with pytest.raises(ValueError, match="positive"):
         microbatch.assign(df, [df["n"]], 0)
+
+
+def test_null_keys_stay_out_of_exchanges(spark):
+    """What is exchanged for an anti or a live lookup has a filter on the key below it; null keys pass all the same."""
+    df = spark.createDataFrame([(1, at(0), "a"), (2, at(0), None), (3, at(0), "b"), (4, at(0), None)], "i long, t timestamp_ntz, k string")
+    seen = spark.createDataFrame([("a",), (None,)], "s string")
+    marks = spark.createDataFrame([("a", 0)], "key string, bucket long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for out in (dedup.not_seen(df, "k", seen, "s"), dedup.not_live(df, "k", marks, "t", 3, 1)):
+            assert sorted(r.i for r in out.collect()) == [2, 3, 4] and out.columns == df.columns
+            plan = out._jdf.queryExecution().sparkPlan().toString()
+            assert "isnotnull" in plan.lower() and "isnull" in plan.lower() and "Union" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        stages.shared_dir(Session())
