@@ -6,8 +6,10 @@ held against the entries that were active on the day it was fetched, whatever wa
 
 A capture's verdict depends on its URL and day alone, so distinct pairs are judged: each yields its host, its parent
 domains and its path prefixes as keys, an equi-join on (kind, key) finds intervals, and the as-of condition keeps
-those that hold the day. Both joins are plain equi-joins of two shuffled sides, so that Spark splits a hot host's or
-hot URL's rows over tasks; the list is only broadcast if Spark finds it small.
+those that hold the day. Keys are counted first, by an aggregate that combines on the map side, and the counts meet the
+list; the intervals of a key, one a day at most, are then one row with its count. So the rows of frequent keys, listed or
+not (`com`), and of frequent captures stay where they are (`split_join`), and only the rest is exchanged. Captures
+without a URL or a day take part in no exchange.
 
 Defined cases: null URLs and URLs without a scheme or host match nothing and stay in the result; a null day matches
 nothing; an add while listed changes nothing, a remove while not listed neither; an entry added and removed on the same day is off
@@ -20,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import split_join, table
+from millrace.stages import cut
 
 _AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 _PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
@@ -59,11 +62,18 @@ def judge(captures: DataFrame, events: DataFrame, *, url: str = "url", day: str
     """One row per capture: url, host, day, blocked, n_active (entries active that day), entry (the first of them as
     kind:pattern), since (when that one's interval began) and `carried_<name>`."""
     rows = captures.select(F.col(url).alias("url"), F.col(day).cast("date").alias("day"), *[F.col(c).alias(f"carried_{c}") for c in carry])
-    asked = rows.select("url", "day").where("url is not null and day is not null").distinct().withColumn("_host", host_of(F.col("url"))).where("_host <> ''")
-    keys = asked.select("url", "day", F.explode(_keys(F.col("_host"), F.regexp_extract("url", _PATH, 1))).alias("k")).select("url", "day", "k.kind", "k.pattern")
-    held = keys.join(intervals(events), ["kind", "pattern"]).where("day >= since and (until is null or day < until)")
-    verdicts = held.groupBy("url", "day").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.concat_ws(":", "kind", "pattern").alias("entry"), "since")).alias("first"))
-    out = rows.join(verdicts, ["url", "day"], "left")
+    dated = "url is not null and day is not null"
+    asked = cut(rows.where(dated).groupBy("url", "day").agg(F.count(F.lit(1)).alias("_n")), "url-asked")
+    hosts = asked.select("url", "day", host_of(F.col("url")).alias("_host")).where("_host <> ''")
+    keys = hosts.select("url", "day", F.explode(_keys(F.col("_host"), F.regexp_extract("url", _PATH, 1))).alias("k")).select("url", "day", "k.kind", "k.pattern")
+    listed = intervals(events).groupBy("kind", "pattern").agg(F.collect_list(F.struct("since", "until")).alias("spans"))
+    known = cut(keys.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("_n")).join(listed, ["kind", "pattern"], "left"), "url-keys")
+    met = split_join(keys, known, ["kind", "pattern"]).where("spans is not null")
+    held = met.select("url", "day", "kind", "pattern", F.explode("spans").alias("span")).where("day >= span.since and (span.until is null or day < span.until)")
+    first = F.min(F.struct(F.concat_ws(":", "kind", "pattern").alias("entry"), F.col("span.since").alias("since"))).alias("first")
+    verdicts = held.groupBy("url", "day").agg(F.count(F.lit(1)).alias("n"), first)
+    judged = cut(asked.join(verdicts, ["url", "day"], "left"), "url-judged")
+    out = split_join(rows.where(dated), judged, ["url", "day"]).unionByName(rows.where(f"not ({dated})"), allowMissingColumns=True)
     return out.select(
         "url",
         F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"),

@@ -110,3 +110,27 @@ def test_odd_captures(spark):
     df = spark.createDataFrame([("http://a.b/", None), (None, None), ("http://a.b/", day(1)), ("http://a.b/", day(1)), ("http://a.b/" + "p/" * 2000, day(1))], "url string, day date")
     assert [r.n_active for r in U.judge(df, events).collect()] == [0] * 5
     assert U.judge(df.limit(0), events).count() == 0
+
+
+def test_hot_keys_stay_out_of_exchanges(spark):
+    """A list that can't be broadcast, a domain in most captures, an unlisted suffix in all, and one capture repeated."""
+    from pyspark.sql import functions as F
+
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        events = spark.createDataFrame([("domain", "hot.com", day(1), "add"), ("domain", "hot.com", day(3), "remove")], "kind string, pattern string, day date, action string")
+        events = events.union(spark.range(2000).select(F.lit("host"), F.concat(F.lit("h"), "id", F.lit(".com")), F.lit(day(0)), F.lit("add")))
+        hot = spark.range(9000).select(F.concat(F.lit("http://w"), "id", F.lit(".hot.com/")).alias("url"), F.expr("date_add(DATE '2024-01-01', cast(id % 5 as int))").alias("day"))
+        cold = spark.range(1000).select(F.concat(F.lit("http://h"), F.col("id") * 3, F.lit(".com/")), F.lit(day(2)))
+        same = spark.range(3000).select(F.lit("http://w1.hot.com/x"), F.lit(day(2)))
+        none = spark.range(500).select(F.lit(None).cast("string"), F.lit(day(2)))
+        out = U.judge(hot.union(cold).union(same).union(none), events)
+        # date_add(2024-01-01, 1) and 2 are the days on which hot.com is listed
+        assert {tuple(r) for r in out.groupBy("entry").count().collect() if r.entry == "domain:hot.com" or r.entry is None} == {("domain:hot.com", 3600 + 3000), (None, 5400 + 333 + 500)}
+        assert out.count() == 13_500 and out.where("blocked").count() == 3600 + 667 + 3000
+        # hot rows meet their verdicts by broadcast though plain joins may not
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
