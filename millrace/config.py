@@ -39,6 +39,8 @@ class KafkaConsumer:
     batch_size: int = 1000
     batch_timeout_sec: int = 5
     auto_offset_reset: str = "latest"
+    #: False: offsets that the broker can't serve any more are skipped instead of failing the query.
+    fail_on_data_loss: bool = True
 
 
 @dataclass(frozen=True)

@@ -57,6 +57,11 @@ def live_marks(marks: DataFrame, now: Column, window_hours: int, bucket_hours: i
     return marks.where(is_live(F.col("bucket"), bucket(now, bucket_hours), window_hours, bucket_hours))
 
 
+def add(marks: DataFrame, key: str, bucket: int) -> DataFrame:
+    """The marks and one more, once."""
+    return marks.unionByName(marks.sparkSession.createDataFrame([(key, bucket)], marks.select("key", "bucket").schema)).distinct()
+
+
 def contains(marks: DataFrame, key: str) -> bool:
     """Whether one key is marked."""
     return not marks.where(F.col("key") == key).isEmpty()

@@ -93,20 +93,36 @@ class TableSink(Sink):
             self.dlq.close()
 
 
+def _clickhouse_client(**options):
+    import clickhouse_connect
+
+    return clickhouse_connect.get_client(**options)
+
+
+class ClientInsert:
+    """Inserts into one table by a client of this task, which `close` closes."""
+
+    def __init__(self, client, table: str):
+        self.client, self.table = client, table
+
+    def __call__(self, data) -> None:
+        self.client.insert_arrow(table=self.table, arrow_table=data)
+
+    def close(self) -> None:
+        self.client.close()
+
+
 class ClickHouseSink(TableSink):
-    """Needs the `clickhouse_connect` package on the executors."""
+    """Needs the `clickhouse_connect` package on the executors, unless `client` makes a client from its options."""
 
-    def __init__(self, settings: ClickHouseOutput, dlq: Sink | None = None):
+    def __init__(self, settings: ClickHouseOutput, dlq: Sink | None = None, client: Callable[..., object] = _clickhouse_client, **retry):
         self.settings = settings
 
         def connect() -> Insert:
-            import clickhouse_connect
-
             c = settings.connection
-            client = clickhouse_connect.get_client(host=c.host, port=c.port, username=c.user, password=c.password, secure=c.secure, database=settings.table.database)
-            return lambda table: client.insert_arrow(table=settings.table.name, arrow_table=table)
+            return ClientInsert(client(host=c.host, port=c.port, username=c.user, password=c.password, secure=c.secure, database=settings.table.database), settings.table.name)
 
-        super().__init__(connect, dlq, settings.dlq_split_factor)
+        super().__init__(connect, dlq, settings.dlq_split_factor, **retry)
 
     def jdbc_options(self) -> dict[str, str]:
         """For `df.write.format("jdbc")` with a driver of the user's own, where rows need no isolation."""

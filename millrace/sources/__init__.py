@@ -33,6 +33,7 @@ def kafka_options(settings: KafkaInput) -> dict[str, str]:
         "maxOffsetsPerTrigger": str(c.batch_size),
         "minOffsetsPerTrigger": str(c.batch_size),
         "maxTriggerDelay": f"{c.batch_timeout_sec}s",
+        **({} if c.fail_on_data_loss else {"failOnDataLoss": "false"}),
         **{f"kafka.{k}": v for k, v in settings.connection.options.items()},
     }
 

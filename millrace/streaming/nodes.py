@@ -12,7 +12,7 @@ import logging
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from millrace.config import DedupApp, ElApp
 from millrace.functions.decode import lenient, strict
@@ -25,6 +25,35 @@ log = logging.getLogger(__name__)
 _ALWAYS = {"processingTime": "0 seconds"}
 
 
+def missing(metrics) -> int:
+    """Messages of a batch that gave no row, by its `decode` metrics: blank ones, or those that didn't parse."""
+    found = metrics.asDict()
+    return found["rejected"] if "rejected" in found else found["messages"] - found["rows"]
+
+
+class CountCheck(StreamingQueryListener):
+    """Warns of batches in which messages and rows differ; leaves the session with its query."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.id = spark, name, None
+
+    def onQueryStarted(self, event):
+        if event.name == self.name:
+            self.id = str(event.runId)
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        if str(p.runId) == self.id and "decode" in p.observedMetrics and (n := missing(p.observedMetrics["decode"])):
+            log.warning("%s: batch %d, %d messages gave no row", self.name, p.batchId, n)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        if str(event.runId) == self.id:
+            self.spark.streams.removeListener(self)
+
+
 def _start(rows: DataFrame, deliver, checkpoint: str, columns: list[str], trigger: dict, name: str) -> StreamingQuery:
     """Runs `deliver(batch, number)` on each batch that has rows."""
 
@@ -38,6 +67,7 @@ def _start(rows: DataFrame, deliver, checkpoint: str, columns: list[str], trigge
         finally:
             batch.unpersist()
 
+    rows.sparkSession.streams.addListener(CountCheck(rows.sparkSession, name))
     return rows.writeStream.queryName(name).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 

@@ -121,3 +121,7 @@ def test_sinks_by_type(file, spark, tmp_path):
     rows.write_arrow(spark, table.to_batches()[0], 1)
     rows.close()
     assert [r.id for r in rows.rows] == [4, None, 7, 8, 7, 8] and isinstance(rows, Sink)
+
+
+def test_lost_data_can_be_skipped(file):
+    assert kafka_options(load(file, {"INPUT__CONSUMER__FAIL_ON_DATA_LOSS": "false"}).input)["failOnDataLoss"] == "false"

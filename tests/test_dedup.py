@@ -145,3 +145,9 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         stages.shared_dir(Session())
+
+
+def test_one_key_is_added_once(spark):
+    marks = spark.createDataFrame([("a", 1)], "key string, bucket long")
+    more = dedup.add(dedup.add(marks, "b", 2), "b", 2)
+    assert dedup.contains(more, "b") and not dedup.contains(marks, "b") and more.count() == 2

@@ -97,3 +97,57 @@ def test_chained_table_sinks(spark):
     inner = TableSink(picky(), last, 10, wait=0.0)
     TableSink(picky(), inner, 10, wait=0.0).write(spark.range(60))
     assert sorted(r.id for r in last.rows) == [7, 57]
+
+
+def test_retries_are_warned_of(caplog):
+    sink = Script(lambda s, t: s.calls < 3)
+    with caplog.at_level("WARNING"):
+        isolate.insert_with_retry(sink, uids(2), wait=0)
+    assert [r.getMessage().split(": ")[0] for r in caplog.records] == [f"insert of 2 rows failed at attempt {k} of 3" for k in (1, 2)]
+
+
+def fake_client(folder):
+    """A client that records its calls as files, as tasks run in other processes."""
+
+    def client(**options):
+        import json
+        import uuid
+        from pathlib import Path
+
+        path = Path(folder) / uuid.uuid4().hex
+
+        class Client:
+            ids, closed = [], 0
+
+            def insert_arrow(self, table, arrow_table):
+                got = arrow_table["id"].to_pylist()
+                if any(v % 50 == 7 for v in got):
+                    raise ValueError("bad id")
+                self.ids = self.ids + [[table, v] for v in got]
+
+            def close(self):
+                self.closed += 1
+                path.write_text(json.dumps([options, self.ids, self.closed]))
+
+        return Client()
+
+    return client
+
+
+def test_clickhouse_sink_with_a_client_of_ours(spark, tmp_path):
+    import json
+
+    from millrace.config import ClickHouseConnection, ClickHouseOutput, ClickHouseTable
+    from millrace.sinks import ClickHouseSink
+
+    dlq = MemorySink()
+    settings = ClickHouseOutput(ClickHouseConnection("db"), ClickHouseTable("events"))
+    ClickHouseSink(settings, dlq, fake_client(str(tmp_path)), wait=0.0).write(spark.range(200), 1)
+    tasks = [json.loads(p.read_text()) for p in tmp_path.iterdir()]
+    assert sorted(v for _, ids, _ in tasks for t, v in ids if t == "events") == [v for v in range(200) if v % 50 != 7]
+    assert all(options["host"] == "db" and closed == 1 for options, _, closed in tasks)
+    assert sorted(r.id for r in dlq.rows) == [7, 57, 107, 157]
+    before = len(tasks)
+    with pytest.raises(Exception, match="bad id"):
+        ClickHouseSink(settings, None, fake_client(str(tmp_path)), wait=0.0).write(spark.range(200), 2)
+    assert len(list(tmp_path.iterdir())) > before  # closed though it failed

@@ -131,3 +131,17 @@ def test_cli_usage(capsys):
     from millrace.streaming.__main__ import main
 
     assert main([]) == 2 and "el|dedup|documents" in capsys.readouterr().err
+
+
+def test_messages_without_rows_are_warned_of(spark, tmp_path, caplog):
+    import time
+
+    s = Stream(spark, tmp_path)
+    s.put(("x", 0, 1), "  ", "", ("y", 0, 2))
+    with caplog.at_level("WARNING", "millrace.streaming.nodes"):
+        s.run()
+        until = time.time() + 20
+        # progress of a query before may still arrive
+        while not (said := [m for r in caplog.records if (m := r.getMessage()).startswith("dedup: ") and m.endswith("gave no row")]) and time.time() < until:
+            time.sleep(0.1)
+    assert said == ["dedup: batch 0, 2 messages gave no row"]
