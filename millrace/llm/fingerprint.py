@@ -10,8 +10,8 @@ count by their bits. (After Roussev's similarity digests, 2010.)
 
 Defined cases: a null text is an empty one; an empty text has an empty digest, which is like another empty one (1) and
 unlike all others (0); short texts keep more and shorter windows (`FEW`, `SHORT_TEXT`); a text whose windows all score too
-little keeps those with the most points; equal texts have equal digests, whatever else the corpus holds beside the rank table; null
-ids come last; rows with equal ids are ordered by text; a table of one row is its own next row; an empty table gives
+little keeps those with the most points; equal texts have equal digests, whatever else the corpus holds beside the rank table; ids
+are of any type that has an order; null ids come last; rows with equal ids are ordered by text; a table of one row is its own next row; an empty table gives
 an empty result; columns that aren't asked for are left behind.
 """
 
@@ -24,8 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegralType
 
-from millrace.llm.common import partitions, table
+from millrace.llm.common import global_index, partitions, ranged, split_join, table
+from millrace.stages import cut
 
 WINDOW = 64
 RUN = 64
@@ -244,6 +247,17 @@ def fingerprints(docs: DataFrame, rank: np.ndarray, *, row_id: str = "doc_id", t
     return docs.select(F.col(row_id).alias("doc_id"), text).mapInArrow(run, f"doc_id {docs.schema[row_id].dataType.simpleString()}, fingerprint string")
 
 
+def _ordered_ids(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, _text) with `_o`, a long in the order of the ids: whole numbers stand for themselves, ids of other
+    types get their places among the distinct ids."""
+    if isinstance(rows.schema["doc_id"].dataType, IntegralType):
+        return rows.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("_o", F.col("doc_id"))
+    named = rows.where("doc_id is not null")
+    counts = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    places = cut(global_index(ranged(counts, [F.col("doc_id")], "next-ids")).select("doc_id", "_n", F.col("_idx").alias("_o")), "next-places")
+    return split_join(named, places, ["doc_id"]).unionByName(rows.where("doc_id is null"), allowMissingColumns=True)
+
+
 def with_next(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
     """Rows (doc_id, _text, _last) dealt to partitions in descending id order, each run of ids followed by its next row.
 
@@ -252,8 +266,9 @@ def with_next(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text") ->
     Texts are shuffled once. Two numbers per partition reach the driver.
     """
     n = partitions(docs.sparkSession)
-    order = F.coalesce(F.col(row_id).cast("long"), F.lit(-(1 << 63)))
-    bounds = docs.select(order.alias("o")).agg(F.percentile_approx("o", [k / n for k in range(1, n)] or [0.5], 10 * n).alias("b")).first()["b"] or []
+    rows = _ordered_ids(docs.select(F.col(row_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")))
+    order = F.coalesce("_o", F.lit(-(1 << 63)))
+    bounds = rows.select(order.alias("o")).agg(F.percentile_approx("o", [k / n for k in range(1, n)] or [0.5], 10 * n).alias("b")).first()["b"] or []
     inner = np.unique(np.array(bounds[: n - 1], np.int64))
 
     @F.pandas_udf("int")
@@ -262,7 +277,7 @@ def with_next(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text") ->
 
         return pd.Series(len(inner) - np.searchsorted(inner, o.to_numpy(), "left")).astype("int32")
 
-    rows = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), order.alias("_o"), run_of(order).alias("_run"))
+    rows = rows.select("doc_id", "_text", order.alias("_o"), run_of(order).alias("_run"))
     tops = {r["_run"]: r["top"] for r in rows.groupBy("_run").agg(F.max("_o").alias("top")).collect()}
     runs = sorted(tops)
     before = {tops[k]: runs[i - 1] for i, k in enumerate(runs)}  # of the first run: the last
@@ -281,6 +296,10 @@ def edited(text: str, following: str) -> str:
 def compare_with_next(docs: DataFrame, rank: np.ndarray) -> DataFrame:
     """For each row the digests of its text and of its edited text, and their likenesses."""
 
+    dealt, _ = with_next(docs)
+    kind = dealt.schema["doc_id"].dataType
+    arrow_kind = to_arrow_type(kind)
+
     def run(batches):
         def out(rows):
             """All rows but the last, which only serves as the next one; guests follow the rows of their run."""
@@ -291,7 +310,7 @@ def compare_with_next(docs: DataFrame, rank: np.ndarray) -> DataFrame:
             other = [digest(h) for block in _blocks(changed) for h in features(block, rank)]
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([rows[k][0] for k in keep], pa.int64()),
+                    pa.array([rows[k][0] for k in keep], arrow_kind),
                     pa.array([len(rows[k][1]) for k in keep], pa.int64()),
                     pa.array([hashlib.sha256(c).hexdigest() for c in changed], pa.string()),
                     pa.array([text_of(chains[k]) for k in keep], pa.string()),
@@ -314,8 +333,7 @@ def compare_with_next(docs: DataFrame, rank: np.ndarray) -> DataFrame:
         if held:
             yield out(held)  # the last row is a guest
 
-    rows, _ = with_next(docs)
-    return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(run, f"doc_id {kind.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

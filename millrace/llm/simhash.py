@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from millrace.llm.common import table
+from millrace.llm.common import fresh, table
 from millrace.llm.components import components
 from millrace.stages import cut
 
@@ -165,12 +165,13 @@ def keep_one(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text", **o
     Texts move once, for the join with the kept rows' digests; a row repeated in full stays once.
     """
     ident = F.md5(F.concat(F.coalesce(F.col(row_id).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
-    tagged = docs.withColumn("_row_digest", ident)
-    groups = near_duplicates(tagged, row_id=row_id, text=text, carry=("_row_digest",), **options)
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("carried__row_digest").alias("digest")))
-    kept = groups.groupBy("root").agg(first.alias("first")).select(F.col("first.digest").alias("_row_digest"))
-    again = Window.partitionBy("_row_digest").orderBy("_row_digest")
-    return tagged.join(kept, "_row_digest", "left_semi").withColumn("_n", F.row_number().over(again)).where("_n = 1").drop("_n", "_row_digest")
+    digest, n = fresh(docs, "row_digest"), fresh(docs, "n")
+    tagged = docs.withColumn(digest, ident)
+    groups = near_duplicates(tagged, row_id=row_id, text=text, carry=(digest,), **options)
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(f"carried_{digest}").alias("digest")))
+    kept = groups.groupBy("root").agg(first.alias("first")).select(F.col("first.digest").alias(digest))
+    again = Window.partitionBy(digest).orderBy(digest)
+    return tagged.join(kept, digest, "left_semi").withColumn(n, F.row_number().over(again)).where(F.col(n) == 1).drop(n, digest)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,3 +101,12 @@ def test_odd_rows(spark, odd):
     assert len({r.fingerprint for r in got if r.doc_id in (1, 7)}) == 1
     assert P.fingerprints(odd, rank).count() == odd.count()
     assert P.compare_with_next(odd.limit(0), P.rank_table(odd.limit(0))).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    rows = [(None, "no id at all"), *[(f"doc-{i:03}", f"text {i} " * (i + 1)) for i in range(40)]]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = P.compare_with_next(df, np.arange(P.BINS)).collect()
+    got = sorted((r for r in got if r.doc_id), key=lambda r: r.doc_id, reverse=True) + [r for r in got if not r.doc_id]
+    check(got, [t for _, t in reversed(rows)])
+    assert P.fingerprints(df, np.arange(P.BINS)).count() == 41

@@ -56,3 +56,8 @@ def test_odd_rows(spark, odd):
     assert sorted(str(r.doc_id) for r in kept) == sorted(["1", "2", "5", "6", "8", "None"])
     assert S.keep_one(odd).columns == odd.columns
     assert S.near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_kept_rows_keep_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d", "x", 5), (2, "a b c d", "y", 6)], "doc_id long, text string, _row_digest string, _n int")
+    assert [tuple(r) for r in S.keep_one(df).collect()] == [(1, "a b c d", "x", 5)]
