@@ -1,3 +1,7 @@
+import math
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -95,3 +99,71 @@ def test_labels_of_one_class(spark, odd):
     stats = quality.statistics(odd)
     assert {r.score for r in quality.score(stats, quality.fit(stats, ones, "label")).collect()} == {1.0}
     assert {r.score for r in quality.score(stats, quality.fit(stats, ones.limit(0), "label")).collect()} == {0.0}
+
+
+def plain_statistics(text):
+    """The statistics of one text, word by word."""
+    raw = (text or "").encode()
+    words = raw.split()
+    size, n, pairs = len(raw), len(words), list(zip(words, words[1:], strict=False))
+    counts = Counter(words)
+
+    def share(part, whole):
+        return math.log((part + 0.5) / (whole + 1))
+
+    def among(chars):
+        return sum(b in chars for b in raw)
+
+    letters = [[b for b in w if chr(b).isalnum() or b > 127] for w in words]
+    lengths = [len(w) for w in words]
+    mean = sum(lengths) / max(1, n)
+    spread = math.sqrt(max(0, sum(v * v for v in lengths) / max(1, n) - mean**2))
+    stops, bangs, upper, digits = b".,;:'\"-()", b"!?", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
+    lower = upper.lower()
+    wide = sum(b > 127 for b in raw)
+    spaces = among(b" \t\n\r\x0b\x0c")
+    symbols = size - wide - spaces - among(stops + bangs + upper + lower + digits)
+    shouted = sum(len(own) > 1 and all(b in upper for b in own) for own in letters)
+    entropy = -sum(c / size * math.log2(c / size) for c in Counter(raw).values())
+    return [
+        math.log1p(n), math.log1p(mean), math.log1p(spread), math.log((n + 1) / (raw.count(b"\n") + 1)),
+        share(sum(v <= 3 for v in lengths), n), share(sum(v >= 12 for v in lengths), n), share(len(counts), n),
+        share(len(pairs) - len(set(pairs)), len(pairs)), share(max(counts.values(), default=0), n), share(among(upper), size),
+        share(shouted, n), share(among(digits), size), share(among(stops), size), share(among(bangs), size), share(symbols, size),
+        share(sum(not own for own in letters), n), share(wide, size), entropy,
+    ]
+
+
+def test_statistics_equal_the_plain_version(small):
+    texts = [r["text"] for r in small[1]] + ["", None, " \n", "A", "AB Cd 12 !? -- é É1", "ONE ONE one\ttwo\r\n" * 9]
+    assert np.allclose(textstats.statistics(texts), [plain_statistics(t) for t in texts], atol=1e-9)
+
+
+def test_discriminant_equals_the_plain_version(spark, small):
+    """Class covariances by numpy over all rows, and densities by inverses and determinants."""
+    folder = "/root/testdata/sf0.001"
+    marked = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    rows = [r for r in small[1] if marked.get(r["doc_id"]) in (0, 1)]
+    x, y = textstats.statistics([r["text"] for r in rows]), np.array([marked[r["doc_id"]] for r in rows])
+    scale = np.sqrt(np.maximum(x.var(0), 1e-12)) + 1e-6
+    z, k = (x - x.mean(0)) / scale, x.shape[1]
+    own = [np.cov(z[y == c].T, bias=True) for c in (0, 1)]
+    n = np.bincount(y)
+    pooled = (own[0] * n[0] + own[1] * n[1]) / n.sum()
+    everything = (textstats.statistics([r["text"] for r in small[1]]) - x.mean(0)) / scale
+    density = []
+    for c in (0, 1):
+        alpha = (quality.POOLED * 200 + k) / (200 + n[c]) if n[c] < 200 else quality.POOLED
+        mixed = (1 - alpha) * own[c] + alpha * pooled
+        cov = (1 - quality.ROUND) * mixed + quality.ROUND * np.trace(mixed) / k * np.eye(k)
+        apart = everything - z[y == c].mean(0)
+        density.append(-0.5 * np.einsum("ij,jk,ik->i", apart, np.linalg.inv(cov), apart) - 0.5 * np.linalg.slogdet(cov)[1])
+    want = density[1] - density[0] + np.log(n[1] / n[0])
+    stats = quality.statistics(small[0])
+    labels = spark.createDataFrame([*marked.items()], "doc_id long, quality int")
+    model = quality.fit(stats, labels)
+    got = {r.doc_id: r.score for r in quality.score(stats, model).collect()}
+    for r, d in zip(small[1], want, strict=True):
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-np.clip(model.slope * d + model.offset, -50, 50)))) < 1e-6
+    query = {r.doc_id: r.score for r in quality.op1_quality(spark, folder).collect()}
+    assert all(abs(query[i] - s) < 1e-9 for i, s in got.items())
