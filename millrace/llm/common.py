@@ -53,11 +53,18 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], n: str = "_n",
     Keys with more than one in `share` of all rows are fewer than `share`: that side is broadcast, so that their rows stay
     where they are, and only the rest is exchanged by key. `n` is dropped.
     """
-    total = right.agg(F.sum(n)).first()[0] or 0
+    total, least, most = right.agg(F.sum(n), F.min(n), F.max(n)).first()
+    if total is None:
+        return left.join(F.broadcast(right.limit(0).drop(n)), on)
+    # where all keys are on one side, the other side's joins are not planned at all
+    if least * share > total:
+        return left.join(F.broadcast(right.drop(n)), on)
+    if most * share <= total:
+        return left.join(right.drop(n).hint("merge"), on)
     heavy = F.col(n) * share > total
-    most = left.join(F.broadcast(right.where(heavy).drop(n)), on)
+    frequent = left.join(F.broadcast(right.where(heavy).drop(n)), on)
     rest = left.join(F.broadcast(right.where(heavy).select(*on)), on, "left_anti").join(right.where(~heavy).drop(n).hint("merge"), on)
-    return most.unionByName(rest)
+    return frequent.unionByName(rest)
 
 
 def word_count(text: Column) -> Column:

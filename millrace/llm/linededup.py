@@ -4,11 +4,15 @@ Every distinct line that occurs more than once gets an ID, its rank among them.
 ranked by its first 1, 2, 4, ... lines: the rank at twice the depth is the rank of the pair (rank here, rank that many
 lines on) among the distinct repeated pairs. Suffixes of equal rank at depth `min_run` are an interval of the suffix
 array whose common prefixes are at least that long; suffixes that fall out of every such interval (an end of document
-or a line that is nowhere else lies within the depth) are dropped at once, as they repeat nothing. In each interval
-the occurrence with the smallest (id, line) is the first copy; all others are later copies and their lines are
-deleted. Neighbouring deleted windows join to maximal runs, as every window of a longer repeated run repeats itself.
-Ranks beyond that depth would only order suffixes within an interval and change no deletion. A single line of at least
-`min_words` words is a passage of its own: the intervals of depth 1 give its later copies, which are deleted too.
+or a line that is nowhere else lies within the depth) are dropped at once, as they repeat nothing. In each interval the
+occurrence with the smallest (id, line) is the first copy, and all others are later copies.
+
+Ranks stop at that depth, as those beyond it would only order suffixes within an interval and change no deletion. How far the
+common prefix of a later copy and the first one goes on is told by the suffixes after it: the next suffix shares one line
+less with the one after the first copy. So neighbouring later copies whose first copies are neighbours too are
+one run, which is as long as their number and the depth less one; it ends where the copy ends or where an earlier first copy
+takes over. The lines of the runs are deleted. A single line of at least `min_words` words is a passage of its own:
+the intervals of depth 1 give its later copies, which are deleted too.
 
 All of it is DataFrame operations. Ranks are dealt to distinct lines and pairs after an aggregate that combines on the
 map side, so that a line or passage in a third of all documents is one row there; joins on lines and ranks leave the rows
@@ -21,7 +25,7 @@ last; an empty table gives an empty result; columns that aren't asked for by `ca
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import global_index, ranged, split_join, table, word_count
@@ -33,30 +37,55 @@ MIN_WORDS = 50
 
 
 def _rank(keys: DataFrame, columns: list[str]) -> DataFrame:
-    """Distinct repeated keys with `rank`, their place in order, and `_n`, the rows that have them."""
-    found = keys.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return cut(global_index(ranged(found, [F.col(c) for c in columns], "line-ranks")).select(*columns, F.col("_idx").alias("rank"), "_n"), "line-ranked")
+    """Distinct repeated keys with `rank`, their place in order, `first`, the first suffix that has them, and `_n`, how many do."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("doc"), F.col("pos"))
+    found = keys.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("first")).where("_n > 1")
+    first = F.struct("first.doc", "first.pos").alias("first")
+    return cut(global_index(ranged(found, [F.col(c) for c in columns], "line-ranks")).select(*columns, F.col("_idx").alias("rank"), first, "_n"), "line-ranked")
 
 
 def repeated_suffixes(lines: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-    """(doc, pos, line) to (doc, pos, rank) of the suffixes whose first line, and whose first `depth` lines, stand elsewhere too."""
-    single = ranks = cut(split_join(lines, _rank(lines, ["line"]), ["line"]).select("doc", "pos", "rank"), "line-suffixes")
+    """(doc, doc_id, pos, line, blank, long) to (doc, doc_id, pos, rank, first) of the suffixes whose first line (with `blank` and
+    `long`), and whose first `depth` lines, stand elsewhere too; `first` is the first copy."""
+    own = ("doc", "doc_id", "pos")
+    single = ranks = cut(split_join(lines, _rank(lines, ["line"]), ["line"]).select(*own, "rank", "first", "blank", "long"), "line-suffixes")
     have = 1
     while have < depth:
         step = min(have, depth - have)  # the last step overlaps where the depth is no power of two
         on = ranks.select("doc", (F.col("pos") - step).alias("pos"), F.col("rank").alias("b"))
-        pairs = cut(ranks.withColumnRenamed("rank", "a").join(on.hint("merge"), ["doc", "pos"]), "line-pairs")
-        ranks = cut(split_join(pairs, _rank(pairs, ["a", "b"]), ["a", "b"]).select("doc", "pos", "rank"), "line-suffixes")
+        pairs = cut(ranks.select(*own, F.col("rank").alias("a")).join(on.hint("merge"), ["doc", "pos"]), "line-pairs")
+        ranks = cut(split_join(pairs, _rank(pairs, ["a", "b"]), ["a", "b"]).select(*own, "rank", "first"), "line-suffixes")
         have += step
     return single, ranks
 
 
-def _later(suffixes: DataFrame) -> DataFrame:
-    """(doc, doc_id, pos, rank) to (doc, pos) of all but the first suffix of each rank."""
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("doc"), F.col("pos"))
-    first = cut(suffixes.groupBy("rank").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("_n")), "line-first")
-    known = split_join(suffixes, first, ["rank"])
-    return known.where((F.col("doc") != F.col("first.doc")) | (F.col("pos") != F.col("first.pos"))).select("doc", "pos")
+def _later() -> Column:
+    """Whether a suffix isn't the first of its interval."""
+    return (F.col("doc") != F.col("first.doc")) | (F.col("pos") != F.col("first.pos"))
+
+
+def repeated_runs(suffixes: DataFrame, depth: int) -> DataFrame:
+    """(doc, pos, length, first) of the runs of `depth` lines or more that stand earlier too, at `first`."""
+    order = Window.partitionBy("doc").orderBy("pos")  # one document's lines at most
+    last, was = F.lag("first").over(order), F.lag("pos").over(order)
+    goes_on = (was == F.col("pos") - 1) & (last["doc"] == F.col("first.doc")) & (last["pos"] == F.col("first.pos") - 1)
+    copies = suffixes.where(_later()).select("doc", "pos", "first")
+    told = copies.withColumn("starts", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("run", F.sum("starts").over(order))
+    runs = told.groupBy("doc", "run").agg(F.min("pos").alias("pos"), (F.count(F.lit(1)) + (depth - 1)).cast("int").alias("length"), F.min_by("first", "pos").alias("first"))
+    return runs.select("doc", "pos", "length", "first")
+
+
+def _gone(single: DataFrame, suffixes: DataFrame, min_run: int) -> DataFrame:
+    """(doc, pos) of the lines to delete: later copies of long single lines, and of the runs' windows that aren't blank."""
+    # of runs that overlap, a later one is cut back to the windows that the others don't have, so that no line is told often
+    before = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(F.col("pos") + F.col("length")).over(before) - (min_run - 1)
+    runs = repeated_runs(suffixes, min_run).select("doc", F.greatest("pos", reach).alias("start"), (F.col("pos") + F.col("length") - 1).alias("end"))
+    covered = runs.where(F.col("end") - F.col("start") >= min_run - 1).select("*", F.explode(F.sequence("start", "end")).alias("pos"))
+    # a line that isn't blank takes with it the lines of the run that share a window with it
+    solid = covered.join(single.where("not blank").select("doc", "pos").hint("merge"), ["doc", "pos"])
+    near = F.sequence(F.greatest("start", F.col("pos") - (min_run - 1)), F.least("end", F.col("pos") + (min_run - 1)))
+    return single.where(F.col("long") & _later()).select("doc", "pos").union(solid.select("doc", F.explode(near).alias("pos")))
 
 
 def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, *, min_words: int = MIN_WORDS, row_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -72,13 +101,7 @@ def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, *, min_words: int = MIN
     lines = cut(exploded.select("doc", "doc_id", "pos", F.unhex(F.md5(F.col("_line").cast("binary"))).alias("line"), (F.trim("_line") == "").alias("blank"), long.alias("long")), "lines")
     # a row repeated in full gives each line twice: one of them stands for both
     lines = cut(lines.groupBy("doc", "doc_id", "pos").agg(*[F.first(c).alias(c) for c in ("line", "blank", "long")]), "lines-once")
-    single, suffixes = repeated_suffixes(lines.select("doc", "pos", "line"), min_run)
-    passages = _later(cut(single.join(lines.where("long").select("doc", "pos", "doc_id").hint("merge"), ["doc", "pos"]), "line-passages"))
-    later = _later(cut(suffixes.join(lines.select("doc", "pos", "doc_id").hint("merge"), ["doc", "pos"]), "line-intervals"))
-    covered = later.select("doc", F.col("pos").alias("start"), F.explode(F.sequence(F.col("pos"), F.col("pos") + (min_run - 1))).alias("pos"))
-    covered = covered.join(lines.select("doc", "pos", "blank").hint("merge"), ["doc", "pos"])
-    alive = covered.groupBy("doc", "start").agg(F.collect_list("pos").alias("all"), F.bool_and("blank").alias("blank")).where("not blank")
-    gone = alive.select("doc", F.explode("all").alias("pos")).union(passages)
+    gone = _gone(*repeated_suffixes(lines, min_run), min_run)
     removed = gone.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
     out = rows.join(removed.hint("merge"), "doc", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(split))

@@ -39,6 +39,38 @@ def test_equals_the_plain_version(spark, k):
         assert r.n_runs == sum(x - 1 not in r.removed for x in r.removed)
 
 
+@pytest.mark.parametrize("k", [2, 3])
+def test_runs_go_on_until_the_copy_ends_or_an_earlier_one_takes_over(spark, k):
+    body = "\n".join(f"l{i}" for i in range(40))
+    texts = [*(t for t in TEXTS if t is not None), "p\n" * 50, body, "s\n" + body + "\nt", body[:90] + "\n" + body, "u\n\n\nv", "u\n\n\nw"]
+    own = [t.split("\n") for t in texts]
+    first, later = {}, {}
+    for d, lines in enumerate(own):
+        for i in range(len(lines) - k + 1):
+            at = first.setdefault(tuple(lines[i : i + k]), (d, i))
+            if at != (d, i):
+                later[d, i] = at
+    rows = [(bytes([d]), d, i, x.encode(), False, False) for d, lines in enumerate(own) for i, x in enumerate(lines)]
+    df = spark.createDataFrame(rows, "doc binary, doc_id long, pos int, line binary, blank boolean, long boolean")
+    covered = []
+    for r in L.repeated_runs(L.repeated_suffixes(df, k)[1], k).collect():
+        d, i, e, j = r.doc[0], r.pos, r.first.doc[0], r.first.pos
+        assert (e, j) < (d, i) and own[d][i : i + r.length] == own[e][j : j + r.length]
+        n = r.length - k + 1
+        assert [later[d, i + x] for x in range(n)] == [(e, j + x) for x in range(n)]
+        assert later.get((d, i + n)) != (e, j + n) and later.get((d, i - 1)) != (e, j - 1)
+        covered += [(d, i + x) for x in range(n)]
+    assert sorted(covered) == sorted(later)
+
+
+def test_a_long_text_of_one_line_takes_linear_work(spark):
+    df = spark.createDataFrame([(1, "\n".join(["same"] * 4_000))], "doc_id long, text string")
+    start = time.time()
+    got = L.dedup_lines(df).first()
+    assert got.text == "same" and got.n_runs == 1 and len(got.removed) == 3_999
+    assert time.time() - start < 60
+
+
 def test_passages_on_one_line_and_hot_lines(spark):
     """A line of 50 words counts by itself, one of 49 doesn't; a line in most documents is no obstacle."""
     words = " ".join(f"w{i}" for i in range(50))
