@@ -153,3 +153,70 @@ def test_odd_rows(spark, odd):
 
     clash = odd.withColumns({c: F.lit(c) for c in ("_digest", "_again", "digest", "id", "none", "set", "root")})
     assert W.keep_one(clash).columns == clash.columns and {r["_digest"] for r in W.keep_one(clash).collect()} == {"_digest"}
+
+
+def shared_blocks(seed=3):
+    """Sets that share their first block with others by chance, and among them pairs of like ones; rows and the like pairs."""
+    rng = np.random.default_rng(seed)
+    rows, like = [], set()
+    for group, n in enumerate((1, 2, 3, 40, 300)):
+        for k in range(n):
+            fp = bytearray(bytes([group, 1, 2]) + rng.bytes(W.BLOCKS * 3 - 3))
+            rows.append((len(rows), 100, bytes(fp), b""))
+            if k % 10 == 1:
+                fp[40::4] = bytes(b ^ 1 << rng.integers(8) for b in fp[40::4])
+                like.add((len(rows) - 1, len(rows)))
+                rows.append((len(rows), 100, bytes(fp), b""))
+    return rows, like
+
+
+@pytest.mark.parametrize(("batch", "crowd"), [("10000", 1000), ("7", 1000), ("7", 20), ("10000", 20)])
+def test_pairs_by_chance_stay_in_their_tasks(spark, batch, crowd):
+    """Only sets that are close to another of their bucket go on, or those of a crowd, each with its least set."""
+    rows, like = shared_blocks()
+    df = spark.createDataFrame(rows, "set long, size long, fp binary, few binary")
+    buckets = {}
+    for k, _, fp, _ in rows:
+        for b in range(W.BLOCKS):
+            buckets.setdefault((b << 24) + int.from_bytes(fp[3 * b : 3 * b + 3]), []).append(k)
+
+    def close(v, x, y):
+        at = ((v >> 24) * 3 // 8 + W.WORDS // 2) % W.WORDS
+        return sum((int.from_bytes(x[8 * k : 8 * k + 8]) ^ int.from_bytes(y[8 * k : 8 * k + 8])).bit_count() for k in (at, (at + 1) % W.WORDS)) <= W.SKETCH
+
+    want = {(v, k, m[0]) for v, m in buckets.items() if len(m) > crowd for k in m}
+    for v, m in ((v, m) for v, m in buckets.items() if len(m) <= crowd):
+        met = {k: [o for o in m if o != k and close(v, rows[k][2], rows[o][2])] for k in m}
+        want |= {(v, k, min(k, *others)) for k, others in met.items() if others}
+    alone = {(v, k) for v, m in buckets.items() if len(m) > 1 for k in m} - {(v, k) for v, k, _ in want}
+    assert all({(v, a), (v, b)} <= {(v, k) for v, k, _ in want} for a, b in like for v, m in buckets.items() if a in m and b in m)
+    assert crowd < 1000 or len(alone) > 100
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = [tuple(r) for r in W._met(W._entries(df), crowd).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(want) > 100 and sorted(got) == sorted(want)
+
+
+def test_rows_do_not_grow_with_pairs_by_chance(spark, monkeypatch):
+    """What leaves the buckets' tasks is the like sets, however many others share a block with them."""
+    made = {}
+    cut = W.cut
+    monkeypatch.setattr(W, "cut", lambda df, label: made.setdefault(label, cut(df, label)))
+    rng = np.random.default_rng(4)
+    rows = [(k, 100, bytes([k % 50, k % 3, 2]) + rng.bytes(W.BLOCKS * 3 - 3), b"") for k in range(3000)]
+    df = spark.createDataFrame(rows, "set long, size long, fp binary, few binary")
+    assert W.similar_links(df).count() == 0
+    assert made["wide-buckets"].count() < 0.25 * len(rows)  # all 3,000 before, in buckets of 20
+
+
+@pytest.mark.parametrize(("c", "a", "b"), [(4, 0, 1), (12, 1, 2), (8, 1, 1), (20, 2, 3), (80, 10, 10), (400, 50, 50)])
+def test_sketches_of_like_sets_are_close(c, a, b):
+    """128 bits of two sets at a likeness of 0.8 never differ in more than SKETCH, in 1,000 draws."""
+    rng = np.random.default_rng(c)
+    for _ in range(50):
+        h = rng.integers(0, 1 << 63, c + a + b).astype(np.uint64)
+        x, y = (np.frombuffer(W.wide(s), np.uint64).reshape(-1, 2) for s in (h[: c + a], np.r_[h[:c], h[c + a :]]))
+        assert np.bitwise_count(x ^ y).sum(1).max() <= W.SKETCH
