@@ -6,9 +6,9 @@ mean gives the class. Vectors and softmax are trained jointly in numpy by AdaGra
 shares most n-grams with its known forms. As the head is linear, a bucket's whole effect is one number, so that
 scoring is a lookup and a mean over whole texts.
 
-The model is fitted on the driver on at most `PER_CLASS` rows of each class (the rows with the smallest hashes, of those
+The model is fitted in one task on at most `PER_CLASS` rows of each class (the rows with the smallest hashes, of those
 whose document is there), with equal weight for both classes. Training and scoring read every text in full: tasks turn texts
-of any length into bags, of which the driver gets one at a time, with at most one entry of 8 bytes for each bucket.
+of any length into bags, with at most one entry of 8 bytes for each bucket. The driver gets the sample's labels and the model.
 
 Defined cases: null and empty texts, and texts without letters or digits, have no n-grams and score as the intercept;
 without training rows of both classes every score is the share of label 1 among them (0 if there are none); null
@@ -150,10 +150,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, per_class:
                 binary = [pa.array([bag[i].astype(np.int32).tobytes() for bag in made], pa.binary()) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], *binary], names=["id", "y", "ids", "counts"])
 
-    got = cut(chosen.mapInArrow(bagged, "id string, y int, ids binary, counts binary"), "toxicity-bags").orderBy("id", "y", "ids")
-    held = got.select("y").collect()  # two passes: a label each, then one bag at a time
-    bags = (tuple(np.frombuffer(r[k], np.int32) for k in ("ids", "counts")) for r in got.toLocalIterator())
-    return train_bags(bags, np.array([r["y"] for r in held], np.int64), share)
+    got = cut(chosen.mapInArrow(bagged, "id string, y int, ids binary, counts binary"), "toxicity-bags")
+    order = ["id", "y", "ids"]
+    y = np.array([r["y"] for r in got.orderBy(*order).select("y").collect()], np.int64)
+    if len(set(y.tolist())) < 2:
+        return train_bags((), y, share)
+
+    def trained(batches):
+        bags = (tuple(np.frombuffer(c[k].as_buffer(), np.int32) for c in batch.columns[2:]) for batch in batches for k in range(batch.num_rows))
+        model = train_bags(bags, y, share)
+        yield pa.RecordBatch.from_arrays([pa.array([model.effect.tobytes()]), pa.array([model.weight.tobytes()]), pa.array([model.intercept])], names=["effect", "weight", "intercept"])
+
+    (made,) = got.repartition(1).sortWithinPartitions(*order).mapInArrow(trained, "effect binary, weight binary, intercept double").collect()
+    return SubwordModel(np.frombuffer(made["effect"], np.float32), np.frombuffer(made["weight"], np.float32), made["intercept"])
 
 
 def score(docs: DataFrame, model: SubwordModel, *, text: str = "text", out: str = "score") -> DataFrame:
